@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.fingerprints import op8_fingerprints
+from tessera.llm.language import op2_language_id
+from tessera.llm.mixing import op10_mixing
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.sharding import op3_byte_shards
+from tessera.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_byte_shards": op3_byte_shards, "op7_secret_scan": op7_secret_scan}
+    return {"op2_language_id": op2_language_id, "op3_byte_shards": op3_byte_shards, "op7_secret_scan": op7_secret_scan, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
