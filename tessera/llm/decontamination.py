@@ -15,12 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import map_text, mix, powers, text_slices
+from tessera.llm.textops import map_text, mix, powers, text_slices, without_ids, written
 
 WINDOW = 8
 MIN_TOKENS = 5
 MIN_COVERAGE = 0.5
 MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_VOCABULARY = 500_000
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yards mi mile miles mg g kg lb lbs oz ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros cent cents kmh mph km/h m/s °c °f degrees w kw v a hz khz mhz ghz kb mb gb tb".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _GLUED = re.compile(r"(\d)(?=[^\W\d_]|[%°])")
@@ -98,8 +99,12 @@ def slot_values(codes: np.ndarray, raw: list[str], at: int, width: int, known: f
 
 
 def _benchmark_words(benchmark: DataFrame, text_col: str) -> frozenset[str]:
-    """Lower-case words of the benchmark as it writes them."""
-    rows = benchmark.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+")).alias("w")).distinct().filter(F.col("w") == F.lower("w"))
+    """Lower-case words of the benchmark as it writes them; its MAX_VOCABULARY most frequent ones if there are more.
+
+    That bounds what is broadcast; a capitalised form of a rarer word then counts as a name on both sides alike.
+    """
+    rows = benchmark.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+")).alias("w")).filter(F.col("w") == F.lower("w"))
+    rows = rows.groupBy("w").count().orderBy(F.desc("count"), "w").limit(MAX_VOCABULARY)
     return frozenset(x for r in rows.toLocalIterator() if (x := _EDGE.sub("", r["w"])))
 
 
@@ -210,5 +215,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     )
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, without the documents that hold a benchmark item; rows without an id stay."""
+    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select("doc_id"))
+    return without_ids(docs, leaks, id_col)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -11,12 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession, Window
-
-from tessera.llm.textops import map_text, mix, shingles, text_slices, written
+from tessera.llm.textops import map_text, mix, shingles, text_slices, without_ids, written
 from tessera.operators.graph import connected_components
 
 MAX_LENGTHEN = 4
@@ -261,6 +259,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return linked_rows.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, without those linked to a document of a smaller id, directly or through others.
+
+    Rows that repeat an id and a text count once. Texts without words are equal to nothing and stay, as do rows without
+    an id.
+    """
+    found = written(jaccard_components(docs, k, num, den, id_col, text_col))
+    kept = without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col)
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
+    if not again.isEmpty():
+        again = written(again)
+        repeated = kept.join(again, kept[id_col] == again["__id"], "left_semi").dropDuplicates([id_col, text_col])
+        kept = without_ids(kept, again, id_col).unionByName(repeated)
+    return kept
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "class_id")

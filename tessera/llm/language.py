@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import map_text, mix
+from tessera.llm.textops import map_text, mix, text_slices
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
@@ -124,8 +124,6 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibra
     languages = sorted(per_lang)
 
     def count(batches):
-        from tessera.llm.textops import text_slices
-
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in text_slices(batch, 0):
@@ -155,8 +153,6 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibra
     kept = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
 
     def judge(batches):
-        from tessera.llm.textops import text_slices
-
         m = kept.value
         right, size, n = np.zeros(m.codes.shape), np.zeros(m.codes.shape[1]), np.zeros(len(m.languages))
         for batch in batches:
@@ -183,35 +179,53 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibra
     return model
 
 
-def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: doc_id, the columns of ``keep``, lang_pred, score and ambiguous.
+def _answers(m: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
+    if m is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    signal, letters = m.margins(texts)
+    best, sure, gap = m.decode(signal)
+    lang = [m.languages[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)]
+    return lang, np.where(letters > 0, sure, 0.0), (letters > 0) & (gap < AMBIGUOUS_BELOW)
+
+
+def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: doc_id, lang_pred, score and ambiguous.
 
     A null or empty text, or one without a letter, is ``und`` with score 0 and not ambiguous; so is every text if nothing
-    was learned. Equal texts get equal answers. Only the id, the text and ``keep`` are read, so other columns cannot
-    clash. Long texts are read whole, a slice at a time. Of equally near codewords the first language by name is taken.
+    was learned. Equal texts get equal answers. Only the id and the text are read, so other columns cannot clash. Long
+    texts are read whole. Of equally near codewords the first language by name is taken. An empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats, whatever the input
 
     def predict(batch: pa.RecordBatch) -> dict:
-        m, texts = shared.value, batch.column(1).to_pylist()
-        lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        if m is not None:
-            signal, letters = m.margins(texts)
-            best, sure, gap = m.decode(signal)
-            lang = [m.languages[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)]
-            score, unsure = np.where(letters > 0, sure, 0.0), (letters > 0) & (gap < AMBIGUOUS_BELOW)
-        return {"id": batch.column(0), "text": batch.column(1), **{c: batch.column(2 + i) for i, c in enumerate(keep)}, "lang": pa.array(lang, pa.string()), "score": pa.array(score), "unsure": pa.array(unsure)}
-
-    def drop_text(batch: pa.RecordBatch) -> dict:
-        out = predict(batch)
-        return out if "text" in keep_text else {k: v for k, v in out.items() if k != "text"}
-
-    keep_text = ("text",) if text_col in keep else ()
-    keep = tuple(c for c in keep if c not in (text_col, id_col))
-    kind = lambda c: df.schema[c].dataType.simpleString()
-    schema = f"doc_id {kind(id_col)}, " + ("text string, " if keep_text else "") + "".join(f"`{c}` {kind(c)}, " for c in keep) + "lang_pred string, score double, ambiguous boolean"
-    read = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c] for c in keep])
-    return map_text(read, 1, drop_text, schema)
+        lang, score, unsure = _answers(shared.value, batch.column(1).to_pylist())
+        return {"id": batch.column(0), "lang": pa.array(lang, pa.string()), "score": pa.array(score), "unsure": pa.array(unsure)}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_text(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")), 1, predict, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(df: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text has a language: not ``und`` and not ambiguous.
+
+    All columns pass through whatever their names. Without a model nothing is known and every row with a letter stays.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, at):
+                texts = part.column(at).to_pylist()
+                if shared.value is None:
+                    keep = np.array([any(map(str.isalpha, t or "")) for t in texts])
+                else:
+                    lang, _, unsure = _answers(shared.value, texts)
+                    keep = np.array([x != UNKNOWN for x in lang]) & ~unsure
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

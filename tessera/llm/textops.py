@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -70,6 +71,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose id is not among ``ids`` (one column); null ids stay.
+
+    The ids are broadcast while there are at most ``broadcast_ids``; beyond that Spark shuffles both sides.
+    """
+    ids = ids.toDF("__id").filter("__id is not null").distinct()
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[id_col] == ids["__id"], "left_anti")
+
+
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = []
