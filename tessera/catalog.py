@@ -1,28 +1,14 @@
-"""Registered queries over the test tables and the SQL that checks them."""
+"""All registered queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import filters, relations, sequences  # noqa: F401  each registers its queries
+from tessera.plans.base import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    d = (F.col("x") - 512) * (F.col("x") - 512) + (F.col("y") - 512) * (F.col("y") - 512)
-    return (
-        part.filter(F.contains(F.lower("p_name"), F.lit("e")))
-        .select("p_partkey", "p_name", ((F.col("p_partkey") * 37 + F.col("p_size") * 101) % 1024).alias("x"), ((F.col("p_partkey") * 91 + F.col("p_size") * 57) % 1024).alias("y"))
-        .withColumn("d2", d)
-        .orderBy("d2", "p_partkey")
-        .limit(30)
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"search_nearest": search_nearest}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
