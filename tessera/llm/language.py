@@ -165,17 +165,14 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibra
                 size += abs(signal[ok]).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([right.ravel().tolist()]), pa.array([size.tolist()]), pa.array([n.tolist()])], names=["right", "size", "n"])
 
-    # sums of vectors of fixed length, added up by position
-    parts = sample.mapInArrow(judge, "right array<double>, size array<double>, n array<double>")
-    summed = {}
-    for name in ("right", "size", "n"):
-        got = parts.select(F.posexplode(name)).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
-        summed[name] = np.array([r["v"] for r in got])
-    right = summed["right"].reshape(codes.shape)
-    n = summed["n"]
+    # vectors of fixed length, added up by position
+    parts = sample.mapInArrow(judge, "right array<double>, size array<double>, n array<double>").select(F.posexplode(F.concat("right", "size", "n")))
+    sums = np.array([r["v"] for r in parts.groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()])
+    right, size, n = np.split(sums, [codes.size, codes.size + codes.shape[1]])
+    right = right.reshape(codes.shape)
     accuracy = (right + 1) / (n[:, None] + 2)
     model.trust = accuracy / accuracy.sum(1, keepdims=True)
-    model.gain = 2.0 / np.maximum(summed["size"] / max(1.0, n.sum()), 1e-6)
+    model.gain = 2.0 / np.maximum(size / max(1.0, n.sum()), 1e-6)
     return model
 
 
