@@ -126,7 +126,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: str, rows_per_range: int = 50_000) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: str, rows_per_range: int = 20_000) -> DataFrame:
     """Apply ``fn(text, next text)`` to every row, where the next is the row below in descending order of the id.
 
     Rows are dealt to ranges of ids and sorted within; each range also gets the highest row of the range below (the lowest

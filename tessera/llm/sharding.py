@@ -7,29 +7,37 @@ from pyspark.sql import functions as F
 
 N_SHARDS = 16
 ROWS_PER_RANGE = 200_000
+LEAST_RANGES = 128
+CUTS = 1024
 
 
 def range_bucket(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[Column, int]:
-    """An expression that gives each row the number of its range of ``key``, and the number of ranges.
+    """An expression that numbers each row's range of an integer ``key`` in order, and how many numbers there are.
 
-    The key is an integer. The cuts are approximate quantiles, so 64 to 1,024 ranges hold nearly equal numbers of rows:
-    about ``rows_per_range`` each, or more beyond 1,024 times that. Null keys are in range 0.
+    Up to CUTS approximate quantiles cut the keys into parts of nearly equal numbers of rows; for more ranges than that,
+    each part is divided evenly by key. So a range has about ``rows_per_range`` rows, or fewer, while keys are spread
+    evenly within a part. Null keys are in range 0.
     """
-    n = min(1024, max(64, df.count() // rows_per_range))
+    wanted = max(LEAST_RANGES, -(-df.count() // rows_per_range))
+    n, within = min(CUTS, wanted), -(-wanted // CUTS)
     points = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(key, points, max(10_000, 20 * n)).alias("q")).first()["q"]
-    cuts = sorted({int(x) for x in cuts or [] if x is not None})
-    bucket = F.lit(0)
-    # a balanced tree of comparisons: a row meets about log2(n) of them
+    row = df.agg(F.percentile_approx(key, points, 20 * CUTS).alias("q"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if row["low"] is None:
+        return F.lit(0), 1
+    edges = sorted({int(row["low"]) - 1, *(int(x) for x in row["q"]), int(row["high"])})  # part i: above edge i, to edge i + 1
+
     def tree(lo: int, hi: int) -> Column:
+        # a row meets about log2(CUTS) comparisons
         if lo == hi:
-            return F.lit(lo)
+            if within == 1:
+                return F.lit(lo)
+            wide = edges[lo + 1] - edges[lo]
+            return F.lit(lo * within) + F.floor((F.col(key) - F.lit(edges[lo] + 1)) * F.lit(within) / F.lit(wide)).cast("int")
         mid = (lo + hi) // 2
-        return F.when(F.col(key) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(F.col(key) <= F.lit(edges[mid + 1]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    if cuts:
-        bucket = F.when(F.col(key).isNull(), 0).otherwise(tree(0, len(cuts)))
-    return bucket, len(cuts) + 1
+    last = len(edges) - 2
+    return F.when(F.col(key).isNull(), 0).otherwise(tree(0, last)), (last + 1) * within
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -60,7 +68,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_i
     inside = Window.partitionBy("__range").orderBy(F.col(id_col).asc_nulls_first(), "text_crc32", "size")
     placed = (
         base.withColumns({"__row": F.row_number().over(inside) - 1, "__end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-        .join(F.broadcast(offsets), "__range")  # at most 1,024 rows of four longs
+        .join(F.broadcast(offsets), "__range")  # rows / rows_per_range rows of four longs: 5 MB for 30 thousand million rows
         .withColumn("__start", F.col("__bytes_before") + F.col("__end") - F.col("size"))
         .withColumn("__at", F.col("__rows_before") + F.col("__row"))
         .withColumn("shard", F.least(F.floor(F.col("__start").cast("decimal(38,0)") * n_shards / F.col("__total")), F.lit(n_shards - 1)).cast("int"))
