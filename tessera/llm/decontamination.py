@@ -26,6 +26,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yards mi mile miles
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _GLUED = re.compile(r"(\d)(?=[^\W\d_]|[%°])")
 _EDGE = re.compile(r"^[^\w$€£+°%-]+|[^\w%°$€£]+$")
+_USUAL = ".,;:!?'\"()[]{}<>*&#|/"
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 _PLACEHOLDER = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
@@ -59,7 +60,11 @@ class _Codes(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        kind, value = canonical(raw, self.known)
+        token = raw.strip(_USUAL)
+        if token.isalpha() and token.islower() and token not in UNITS:
+            kind, value = WORD, token  # what canonical() says of most tokens
+        else:
+            kind, value = canonical(raw, self.known)
         code = 0 if not value else kind if kind else (xxhash.xxh3_64_intdigest(value) | 4) & ~3
         self[raw] = code
         return code
@@ -84,12 +89,11 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     steps, _ = powers(width + 1)
     with np.errstate(over="ignore"):
-        h = np.zeros(m, np.uint64)
-        words = np.zeros(m, np.int32)
-        is_word = (codes & np.uint64(3)) == 0
+        h, mixed = np.zeros(m, np.uint64), mix(codes)
         for j in range(width):
-            h += mix(codes[j : j + m]) * steps[j + 1]
-            words += is_word[j : j + m]
+            h += mixed[j : j + m] * steps[j + 1]
+        before = np.concatenate([[0], np.cumsum((codes & np.uint64(3)) == 0)])
+        words = before[width:] - before[:-width]
         return np.where(2 * words >= width, mix(h + np.uint64(width)) | np.uint64(1), np.uint64(0))
 
 
