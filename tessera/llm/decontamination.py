@@ -22,7 +22,7 @@ MIN_TOKENS = 5
 MIN_COVERAGE = 0.5
 MAX_BROADCAST_WINDOWS = 2_000_000
 MAX_VOCABULARY = 500_000
-UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yards mi mile miles mg g kg lb lbs oz ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros cent cents kmh mph km/h m/s °c °f degrees w kw v a hz khz mhz ghz kb mb gb tb".split())
+UNITS = frozenset("mm cm m km inch inches ft foot feet yd yards mi mile miles mg g kg lb lbs oz ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros cent cents kmh mph km/h m/s °c °f degrees kw hz khz mhz ghz kb mb gb tb".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _GLUED = re.compile(r"(\d)(?=[^\W\d_]|[%°])")
 _EDGE = re.compile(r"^[^\w$€£+°%-]+|[^\w%°$€£]+$")
@@ -43,7 +43,7 @@ def canonical(raw: str, known: frozenset[str]) -> tuple[int, str]:
         return WORD, ""
     if _NUMBER.fullmatch(token):
         return NUM, low
-    if low in UNITS and low not in known:
+    if low in UNITS:
         return UNIT, low
     if token[0].isupper() and low not in known:
         return NAME, low
