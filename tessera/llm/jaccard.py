@@ -67,10 +67,21 @@ def _classes(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
     return out.view(np.int64)
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bitmap: np.ndarray) -> DataFrame:
+def token_bits(df: DataFrame, text_col: str, num: int, den: int) -> int:
+    """Bits of the hashes that prefixes carry: enough for one in 128 of them to meet another by chance, however many.
+
+    A chance meeting only adds a candidate, which is verified.
+    """
+    n_bytes, rows = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count(F.lit(1))).first()
+    words = n_bytes / 6
+    return min(63, max(16, int(np.log2(1 + words * (1 - num / den) + MAX_LENGTHEN * rows)) + 8))
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bitmap: np.ndarray, token_width: int) -> DataFrame:
     """(doc_id, n, cls, prefix, bits) of each row: size and hash of its set, its longest prefix in order, a set bitmap."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)  # 2**FREQUENT_BITS bits
     words = BITMAP_WORDS * 64
+    token = pa.int32() if token_width <= 32 else pa.int64()
 
     def sign(batch: pa.RecordBatch) -> dict:
         owner, h = shingles(batch.column(1).to_pylist(), k)
@@ -81,18 +92,18 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         ordered = h[order]
         needed = np.minimum(n, n - (num * n + den - 1) // den + MAX_LENGTHEN)
         place = np.arange(len(h)) - first[owner]
-        prefix = ordered[place < needed[owner]].view(np.int64)
+        prefix = (ordered[place < needed[owner]] >> np.uint64(64 - token_width)).astype(np.uint32 if token_width <= 32 else np.uint64)
         bits = np.zeros((rows, words), dtype=bool)
         bits[owner, (mix(h) & np.uint64(words - 1)).astype(np.int64)] = True
         packed = np.packbits(bits, axis=1)
         offsets = np.concatenate([[0], np.cumsum(needed)]).astype(np.int32)
         return {
             "id": batch.column(0), "n": pa.array(n.astype(np.int64)), "cls": pa.array(_classes(h, first, n)),
-            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), "bits": pa.array([r.tobytes() for r in packed], pa.binary()),
+            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int32 if token_width <= 32 else np.int64))), "bits": pa.array([r.tobytes() for r in packed], pa.binary()),
         }
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_text(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string")), 1, sign, f"doc_id {kind}, n long, cls long, prefix array<long>, bits binary")
+    return map_text(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string")), 1, sign, f"doc_id {kind}, n long, cls long, prefix array<{'int' if token == pa.int32() else 'long'}>, bits binary")
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -100,21 +111,25 @@ def _needed(n: Column, num: int, den: int) -> Column:
 
 
 def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, cls, n, ell, df) of the shingles in each class's chosen prefix that another class has in its longest one.
+    """(token, row, ell, df) of the shingles in each class's chosen prefix that another class has in its longest one.
 
-    The cost of lengthening by l is what is read, the other holders of the prefix's shingles, and VERIFY_COST for each
-    candidate, of which there are at most a l-th of that.
+    ``classes`` has row, n and prefix. The cost of lengthening by l is what is read, the other holders of the prefix's
+    shingles, and VERIFY_COST for each candidate, of which there are at most a l-th of that. A shingle's level is the
+    least l whose prefix has it; row and level share a number, which keeps the one large shuffle small.
     """
-    base = F.col("n") - _needed(F.col("n"), num, den)
-    each = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
-    shared = written(shared)
-    scans = [F.sum(F.when(F.col("pos") < base + ell, F.col("df") - 1).otherwise(0)).alias(f"s{ell}") for ell in range(1, MAX_LENGTHEN + 1)]
-    sums = shared.groupBy("cls", "n").agg(*scans)
-    costs = F.array_sort(F.array(*[F.struct(F.when(_needed(F.col("n"), num, den) >= ell, F.col(f"s{ell}") * (1 + VERIFY_COST / ell)).alias("cost"), F.lit(ell).alias("ell")) for ell in range(1, MAX_LENGTHEN + 1)]))
-    costs = F.filter(costs, lambda c: c["cost"].isNotNull())
-    chosen = sums.select("cls", costs[0]["ell"].alias("ell"))
-    return shared.join(chosen, "cls").filter(F.col("pos") < base + F.col("ell")).select("token", "cls", "ell", "df")
+    n = F.col("n")
+    base = n - _needed(n, num, den)
+    most = F.least(F.lit(MAX_LENGTHEN), _needed(n, num, den))
+    each = classes.select("row", base.alias("base"), most.alias("most"), F.posexplode("prefix").alias("pos", "token"))
+    level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 1)
+    packed = each.filter(level <= F.col("most")).select("token", (F.col("row") * 8 + level).alias("held"))
+    shared = written(packed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
+    shared = shared.select("token", F.floor(F.col("held") / 8).alias("row"), (F.col("held") % 8).alias("level"), "df")
+    scans = [F.sum(F.when(F.col("level") <= ell, F.col("df") - 1).otherwise(0)).alias(f"s{ell}") for ell in range(1, MAX_LENGTHEN + 1)]
+    sums = shared.groupBy("row").agg(*scans).join(classes.select("row", most.alias("most")), "row")
+    costs = F.array_sort(F.filter(F.array(*[F.struct(F.when(F.col("most") >= ell, F.col(f"s{ell}") * (1 + VERIFY_COST / ell)).alias("cost"), F.lit(ell).alias("ell")) for ell in range(1, MAX_LENGTHEN + 1)]), lambda c: c["cost"].isNotNull()))
+    chosen = sums.select("row", costs[0]["ell"].alias("ell"))
+    return shared.join(chosen, "row").filter("level <= ell").select("token", "row", "ell", "df")
 
 
 def _block_pairs(num: int, den: int, spanning: bool):
@@ -182,15 +197,18 @@ def _block_pairs(num: int, den: int, spanning: bool):
 
 
 def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
-    """(a, b) pairs of classes of different components to verify; ``classes`` has cls, n, bits and comp.
+    """(a, b) pairs of classes of different components to verify; ``classes`` has row, n, bits and comp.
 
-    A shingle's holders are dealt to blocks of about BLOCK, and each pair of blocks is one group, so no task holds more
-    than two blocks at a time however many hold a shingle.
+    Shingles held within one component are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
+    each pair of blocks is one group, so no task holds more than two blocks at a time however many hold a shingle.
     """
+    if not spanning:
+        ends = posted.join(classes.select("row", "comp"), "row").groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
+        posted = posted.join(ends.filter("c < d").select("token"), "token", "left_semi")
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
-    rows = posted.join(classes.select("cls", "n", "bits", "comp"), "cls").withColumn("own", F.pmod(F.xxhash64("cls", "token"), parts).cast("int"))
+    rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").withColumn("own", F.pmod(F.xxhash64("row", "token"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.col("n"), F.col("ell").cast("long").alias("ell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "bits")
+    rows = rows.select(F.col("token").cast("long").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "comp", F.col("n"), F.col("ell").cast("long").alias("ell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "bits")
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long")
     if spanning:
@@ -200,29 +218,35 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
 
 
 def linked(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold, counted exactly; texts of the pairs' classes are read again."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("cls")
-    ids = found.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("__id"))
-    ids = written(ids)
-    keys = ids.select("__id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        keys = F.broadcast(keys)  # ids of at most BROADCAST_IDS classes
+    """The pairs (a, b) whose whole sets reach the threshold, counted exactly; texts of the pairs' classes are read again.
+
+    The sets of b meet the pairs where they are made and move once, to the sets of a.
+    """
+    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
+    held = written(found.join(ends, "row", "left_semi").select("row", "cls", F.col("doc_id").alias("__id")))
+    few = held.count() <= BROADCAST_IDS and pairs.count() <= BROADCAST_IDS
+    small = F.broadcast if few else (lambda d: d)  # BROADCAST_IDS rows of three numbers; beyond that Spark shuffles
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    named = texts.join(keys, texts["doc_id"] == keys["__id"], "left_semi")
-    unnamed = texts.filter("doc_id is null")
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def sets(batch: pa.RecordBatch) -> dict:
         owner, h = shingles(batch.column(1).to_pylist(), k)
         n = np.bincount(owner, minlength=batch.num_rows)
         first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
         offsets = np.concatenate([first, [len(h)]]).astype(np.int32)
-        return {"cls": pa.array(_classes(h, first, n)), "members": pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))}
+        return {"id": batch.column(0), "cls": pa.array(_classes(h, first, n)), "members": pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))}
+
+    def members(side: str) -> DataFrame:
+        """(side, members) of the classes on one side of a pair; rows that repeat an id and a text come as often."""
+        wanted = held.join(pairs.select(F.col(side).alias("row")).distinct(), "row", "left_semi")
+        some = texts.join(small(wanted.select("__id").distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        got = map_text(some, 1, sets, f"doc_id {kind}, cls long, members array<long>")
+        return got.join(small(wanted), (got["cls"] == wanted["cls"]) & got["doc_id"].eqNullSafe(wanted["__id"])).select(F.col("row").alias(side), "members")
 
-    members = map_text(named.unionByName(unnamed), 1, sets, "cls long, members array<long>").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
-    members = written(members)
-    both = pairs.join(members.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b").join(members.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
+    moved = members("b").join(small(pairs), "b").select("a", "b", F.col("members").alias("mb"))
+    both = moved.join(members("a").withColumnRenamed("members", "ma"), "a")
     common = F.size(F.array_intersect("ma", "mb")).cast("long")
-    return both.withColumn("common", common).filter(den * F.col("common") >= num * (F.size("ma") + F.size("mb") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).filter(den * F.col("common") >= num * (F.size("ma") + F.size("mb") - F.col("common"))).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,28 +259,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     least id of its component, or null if there is none. Rows with equal ids and texts get equal rows. Shingles and sets
     are compared by 64-bit hashes. Only id and text are read, so other columns cannot clash. An empty table: no rows.
     """
-    found = written(signatures(docs, id_col, text_col, k, num, den, frequent_shingles(docs, id_col, text_col, k)))
+    width = token_bits(docs, text_col, num, den)
+    made = signatures(docs, id_col, text_col, k, num, den, frequent_shingles(docs, id_col, text_col, k), width)
+    found = written(made.withColumn("row", F.monotonically_increasing_id()))
     sets = found.filter("n > 0")
-    classes = written(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    posted = written(postings(classes.select("cls", "n", "prefix"), num, den))
-    held = classes.select("cls", "n", "bits").join(posted.select("cls").distinct(), "cls", "left_semi")
-    held = written(held)
-    members = sets.select("cls", "doc_id")
-
-    first = candidates(posted, held.withColumn("comp", F.col("cls")), num, den, spanning=True)
-    links = written(linked(written(first), docs, members, id_col, text_col, k, num, den))
+    # one row stands for each class
+    reps = written(sets.groupBy("cls").agg(F.min("row").alias("row"), F.min("doc_id").alias("class_id")))
+    only = reps.select("row")
+    classes = sets.join(F.broadcast(only) if reps.count() <= BROADCAST_IDS else only, "row", "left_semi")
+    posted = written(postings(classes, num, den))
+    held = written(classes.select("row", "n", "bits").join(posted.select("row").distinct(), "row", "left_semi"))
+
+    first = candidates(posted, held.withColumn("comp", F.col("row")), num, den, spanning=True)
+    links = written(linked(written(first), docs, found, id_col, text_col, k, num, den))
     comps = written(connected_components(links, "a", "b"))
-    joined = written(held.join(comps, held["cls"] == comps["node"], "left").select("cls", "n", "bits", F.coalesce("component", "cls").alias("comp")))
-    rest = candidates(posted, joined, num, den, spanning=False)
-    more = written(linked(written(rest), docs, members, id_col, text_col, k, num, den))
+    joined = written(held.join(comps, held["row"] == comps["node"], "left").select("row", "n", "bits", F.coalesce("component", "row").alias("comp")))
+    more = linked(written(candidates(posted, joined, num, den, spanning=False)), docs, found, id_col, text_col, k, num, den)
     comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
-    own = sets.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    placed = own.join(comps, own["cls"] == comps["node"], "left").select("cls", "class_id", F.coalesce("component", "cls").alias("comp"))
+    placed = reps.join(comps, reps["row"] == comps["node"], "left").select("cls", "class_id", F.coalesce("component", "row").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     placed = placed.join(least, "comp").select("cls", "class_id", "component_id")
-    linked_rows = found.filter("n > 0").join(placed, "cls").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
-    return linked_rows.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    rows = found.filter("n > 0").select("doc_id", "n", "cls").join(placed, "cls").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    return rows.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
