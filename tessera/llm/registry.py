@@ -11,13 +11,15 @@ from tessera.llm.fingerprints import op8_fingerprints
 from tessera.llm.jaccard import op5_jaccard_join
 from tessera.llm.language import op2_language_id
 from tessera.llm.mixing import op10_mixing
+from tessera.llm.quality import op4_quality
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.sharding import op3_byte_shards
+from tessera.llm.tokens import op6_token_counts
 from tessera.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op3_byte_shards": op3_byte_shards, "op5_jaccard_join": op5_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op3_byte_shards": op3_byte_shards, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op6_token_counts": op6_token_counts, "op7_secret_scan": op7_secret_scan, "op8_fingerprints": op8_fingerprints, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
