@@ -22,6 +22,7 @@ from tessera.llm.textops import map_text
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 12
 EM_ROUNDS = 200
+SLIPS, CATCHES = 0.1, 0.6
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "variety", "columns", "runs", "lines", "word_length", "size", "regular")
 GOOD, BAD, ABSTAIN = "+", "-", "."
@@ -103,27 +104,44 @@ def votes(text: str | None, read: Reading | None = None) -> str:
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray, dict[str, float]]:
-    """EM over counts of vote patterns: the share of good texts, how labellers vote on good and bad ones, posteriors.
+    """EM over counts of vote patterns: the share of good texts, how labellers vote on each class of text, posteriors.
 
-    The votes' table is labellers x (good, bad) x (good vote, abstains, bad vote); abstaining tells something, too, as
-    some labellers only know faults. Votes are taken as independent given the truth, and a labeller starts as better than
-    chance, which settles what is good.
+    There is one class of good texts and one of bad ones for each labeller, the fault that it looks for; the table is
+    labellers x classes x (good vote, abstains, bad vote). Abstaining tells something, too, as some labellers only know
+    faults. Votes are taken as independent given the class. Two bounds settle what the classes mean: a labeller calls at
+    most SLIPS of good texts bad, and at least CATCHES of those with its own fault.
     """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     v = np.array([[(GOOD, ABSTAIN, BAD).index(c) for c in k] for k in keys])
+    size = v.shape[1]
     hot = (v[:, :, None] == np.arange(3)).astype(float)  # patterns x labellers x votes
-    share, table = 0.8, np.tile(np.array([[0.6, 0.37, 0.03], [0.3, 0.4, 0.3]]), (v.shape[1], 1, 1))
+    share = np.array([0.8, *[0.2 / size] * size])
+    table = np.tile(np.array([0.5, 0.3, 0.2]), (size, size + 1, 1))
+    table[:, 0] = [0.6, 0.37, 0.03]
+    for j in range(size):
+        table[j, j + 1] = [0.05, 0.15, 0.8]
     for _ in range(rounds):
-        logs = np.einsum("klv,lcv->kc", hot, np.log(table)) + np.log([share, 1 - share])
-        post = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0], -500, 500)))
-        old, w = table, np.stack([n * post, n * (1 - post)])
-        share = float(np.clip((w[0].sum() + 1) / (n.sum() + 2), 0.01, 0.99))
-        table = np.einsum("ck,klv->lcv", w, hot) + 0.5
+        logs = np.einsum("klv,lcv->kc", hot, np.log(table)) + np.log(share)
+        each = np.exp(logs - logs.max(1, keepdims=True))
+        each /= each.sum(1, keepdims=True)
+        old, w = table, n[:, None] * each
+        share = (w.sum(0) + 1) / (n.sum() + size + 1)
+        table = np.einsum("kc,klv->lcv", w, hot) + 0.5
         table = table / table.sum(2, keepdims=True)
+        table[:, 0] = _bounded(table[:, 0], 0.0, SLIPS)
+        for j in range(size):
+            table[j, j + 1] = _bounded(table[j, j + 1], CATCHES, 1.0)
         if abs(table - old).max() < 1e-7:
             break
-    return share, table, dict(zip(keys, post.tolist(), strict=True))
+    return float(share[0]), table, dict(zip(keys, each[:, 0].tolist(), strict=True))
+
+
+def _bounded(p: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Shares of votes with that of the bad ones held in bounds and the others scaled to fit."""
+    bad = np.clip(p[..., 2:], max(low, 1e-4), min(high, 1 - 1e-3))
+    rest = p[..., :2] / p[..., :2].sum(-1, keepdims=True) * (1 - bad)
+    return np.concatenate([np.maximum(rest, 1e-6), bad], -1)
 
 
 def features(read: Reading) -> tuple[list[int], list[float]]:
@@ -141,7 +159,7 @@ def features(read: Reading) -> tuple[list[int], list[float]]:
 @dataclass
 class QualityModel:
     share: float
-    table: np.ndarray  # labellers x (good, bad) x (good vote, abstains, bad vote)
+    table: np.ndarray  # labellers x classes x (good vote, abstains, bad vote)
     posteriors: dict[str, float]  # by pattern of votes: at most 3**labellers of them
     weights: np.ndarray  # BUCKETS and the intercept
 

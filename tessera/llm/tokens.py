@@ -56,6 +56,10 @@ def flat_token_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part, number, block, held, n_held, n_file, row = TaskContext.get().partitionId(), 0, 0, [], 0, 0, 0
         name = lambda: (part << 24) | number
 
+        def whole_blocks(held, n, rest):
+            stream = np.concatenate(held)
+            return [stream[i : i + block_tokens].tobytes() for i in range(0, n if rest else n - n % block_tokens, block_tokens)]
+
         def rows(blocks, ids, first, id_type):
             n = len(blocks) + (1 if ids else 0)
             files = [name()] * n
@@ -67,24 +71,22 @@ def flat_token_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_type = None
         for batch in batches:
             for cut in text_slices(batch, 1):
-                id_type, ids, first = cut.schema.field(0).type, cut.column(0).to_pylist(), row
-                for t in cut.column(1).to_pylist():
+                id_type, ids, first = cut.schema.field(0).type, [], row
+                for i, t in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), strict=True):
                     got = np.array([*encode(t or ""), end], np.uint16)
                     held.append(got)
-                    n_held += len(got)
-                    n_file += len(got)
-                row += len(ids)
-                stream = np.concatenate(held)
-                full = n_held // block_tokens
-                done = n_file >= file_tokens
-                blocks = [stream[i * block_tokens : (i + 1) * block_tokens].tobytes() for i in range(full)]
-                if done and n_held % block_tokens:
-                    blocks.append(stream[full * block_tokens :].tobytes())
-                yield rows(blocks, ids, first, id_type)
-                block += len(blocks)
-                held, n_held = ([], 0) if done else ([stream[full * block_tokens :]], n_held - full * block_tokens)
-                if done:
-                    number, block, n_file, row = number + 1, 0, 0, 0
+                    ids.append(i)
+                    n_held, n_file, row = n_held + len(got), n_file + len(got), row + 1
+                    if n_file >= file_tokens:
+                        yield rows(whole_blocks(held, n_held, True), ids, first, id_type)
+                        number, block, held, n_held, n_file, row, ids, first = number + 1, 0, [], 0, 0, 0, [], 0
+                if ids:
+                    blocks = whole_blocks(held, n_held, False)
+                    yield rows(blocks, ids, first, id_type)
+                    block += len(blocks)
+                    if blocks:
+                        held = [np.concatenate(held)[len(blocks) * block_tokens :]]
+                        n_held = len(held[0])
         if n_held:
             yield rows([np.concatenate(held).tobytes()], [], 0, id_type)
 
