@@ -22,7 +22,8 @@ VERIFY_COST = 10
 SAMPLE_ONE_IN = 32
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_BITS = 22
-BITMAP_WORDS = 8
+MOST_WORDS = 32
+THIN_TO = 16
 BLOCK = 512
 BROADCAST_IDS = 2_000_000
 
@@ -67,6 +68,18 @@ def _classes(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
     return out.view(np.int64)
 
 
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmaps of sets of n members: powers of two from 4 to MOST_WORDS, more than a bit for a member."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 48)).clip(0).astype(np.int64), 4, MOST_WORDS)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a bitmap at a smaller width: what a member sets there follows from what it sets here."""
+    while bits.shape[1] > words:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def token_bits(df: DataFrame, text_col: str, num: int, den: int) -> int:
     """Bits of the hashes that prefixes carry: enough for one in 128 of them to meet another by chance, however many.
 
@@ -80,7 +93,6 @@ def token_bits(df: DataFrame, text_col: str, num: int, den: int) -> int:
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bitmap: np.ndarray, token_width: int) -> DataFrame:
     """(doc_id, n, cls, prefix, bits) of each row: size and hash of its set, its longest prefix in order, a set bitmap."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)  # 2**FREQUENT_BITS bits
-    words = BITMAP_WORDS * 64
     token = pa.int32() if token_width <= 32 else pa.int64()
 
     def sign(batch: pa.RecordBatch) -> dict:
@@ -93,13 +105,16 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         needed = np.minimum(n, n - (num * n + den - 1) // den + MAX_LENGTHEN)
         place = np.arange(len(h)) - first[owner]
         prefix = (ordered[place < needed[owner]] >> np.uint64(64 - token_width)).astype(np.uint32 if token_width <= 32 else np.uint64)
-        bits = np.zeros((rows, words), dtype=bool)
-        bits[owner, (mix(h) & np.uint64(words - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1)
+        words = bitmap_words(n)
+        at, ends = mix(h), np.cumsum(words * 64)
+        bits = np.zeros(int(ends[-1]) if rows else 0, dtype=bool)
+        bits[(ends - words * 64)[owner] + (at & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)] = True
+        packed = np.packbits(bits).tobytes()
+        sets = [packed[8 * (e - w) : 8 * e] for e, w in zip(np.cumsum(words), words, strict=True)]
         offsets = np.concatenate([[0], np.cumsum(needed)]).astype(np.int32)
         return {
             "id": batch.column(0), "n": pa.array(n.astype(np.int64)), "cls": pa.array(_classes(h, first, n)),
-            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int32 if token_width <= 32 else np.int64))), "bits": pa.array([r.tobytes() for r in packed], pa.binary()),
+            "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int32 if token_width <= 32 else np.int64))), "bits": pa.array(sets, pa.binary()),
         }
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -111,7 +126,7 @@ def _needed(n: Column, num: int, den: int) -> Column:
 
 
 def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, row, ell, df) of the shingles in each class's chosen prefix that another class has in its longest one.
+    """(token, row, ell, df, thin) of the shingles in each class's chosen prefix that another class has in its longest one.
 
     ``classes`` has row, n and prefix. The cost of lengthening by l is what is read, the other holders of the prefix's
     shingles, and VERIFY_COST for each candidate, of which there are at most a l-th of that. A shingle's level is the
@@ -126,10 +141,11 @@ def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     shared = written(packed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
     shared = shared.select("token", F.floor(F.col("held") / 8).alias("row"), (F.col("held") % 8).alias("level"), "df")
     scans = [F.sum(F.when(F.col("level") <= ell, F.col("df") - 1).otherwise(0)).alias(f"s{ell}") for ell in range(1, MAX_LENGTHEN + 1)]
-    sums = shared.groupBy("row").agg(*scans).join(classes.select("row", most.alias("most")), "row")
+    sums = shared.groupBy("row").agg(*scans, F.count(F.lit(1)).alias("held")).join(classes.select("row", most.alias("most")), "row")
     costs = F.array_sort(F.filter(F.array(*[F.struct(F.when(F.col("most") >= ell, F.col(f"s{ell}") * (1 + VERIFY_COST / ell)).alias("cost"), F.lit(ell).alias("ell")) for ell in range(1, MAX_LENGTHEN + 1)]), lambda c: c["cost"].isNotNull()))
-    chosen = sums.select("row", costs[0]["ell"].alias("ell"))
-    return shared.join(chosen, "row").filter("level <= ell").select("token", "row", "ell", "df")
+    thin = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("held") / THIN_TO, F.lit(1.0))))).cast("long")
+    chosen = sums.select("row", costs[0]["ell"].alias("ell"), thin.alias("thin"))
+    return shared.join(chosen, "row").filter("level <= ell").select("token", "row", "ell", "df", "thin")
 
 
 def _block_pairs(num: int, den: int, spanning: bool):
@@ -144,15 +160,24 @@ def _block_pairs(num: int, den: int, spanning: bool):
             return []
         two = side.max() > 0
         rows = np.flatnonzero(side == 0) if two else np.flatnonzero(comp != values[counts.argmax()])
+        width = np.array([len(x) // 8 for x in bits])
+        by_width = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join([x for x in bits if len(x) == 8 * w]), np.uint64).reshape(-1, w)) for w in np.unique(width).tolist()}
+        cut: dict[tuple[int, int], np.ndarray] = {}
         found = []
         for i in rows:
-            others = np.flatnonzero((comp != comp[i]) & (side == 1)) if two else np.flatnonzero((comp != comp[i]) & ((comp == values[counts.argmax()]) | (np.arange(len(cls)) > i)))
-            total = n[others] + n[i]
-            room = total - 2 * -(-num * total // (num + den))
-            ok = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
-            others, room = others[ok], room[ok]
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-            found += [(int(d), i, int(j)) for j, d in zip(others[apart <= room], apart[apart <= room], strict=True)]
+            mine = np.frombuffer(bits[i], np.uint64)[None]
+            for w, (at, table) in by_width.items():
+                ok = (comp[at] != comp[i]) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
+                ok &= (side[at] == 1) if two else (comp[at] == values[counts.argmax()]) | (at > i)
+                if not ok.any():
+                    continue
+                small = min(w, int(width[i]))
+                if (w, small) not in cut:
+                    cut[w, small] = _folded(table, small)
+                total = n[at][ok] + n[i]
+                room = total - 2 * -(-num * total // (num + den))
+                apart = np.bitwise_count(cut[w, small][ok] ^ _folded(mine, small)).sum(1, dtype=np.int64)
+                found += [(int(d), i, int(j)) for j, d in zip(at[ok][apart <= room], apart[apart <= room], strict=True)]
         if spanning:
             parent = {c: c for c in comp}
 
@@ -167,7 +192,7 @@ def _block_pairs(num: int, den: int, spanning: bool):
                     parent[a] = b
                     kept.append((d, i, j))
             found = kept
-        return [(min(cls[i], cls[j]), max(cls[i], cls[j]), min(ell[i], ell[j])) for _, i, j in found]
+        return [(min(cls[i], cls[j]), max(cls[i], cls[j]), min(ell[i], ell[j]), d) for d, i, j in found]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -185,13 +210,14 @@ def _block_pairs(num: int, den: int, spanning: bool):
 
     def blocks(table, cuts):
         cls, comp, n, ell, side = (table.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = np.empty(table.num_rows, object)
+        bits[:] = table.column(8).to_pylist()
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1:
                 out += compare(cls[a:b], comp[a:b], n[a:b], bits[a:b], side[a:b], ell[a:b])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "ell"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "ell", "apart"])
 
     return run
 
@@ -201,18 +227,23 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
 
     Shingles held within one component are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
     each pair of blocks is one group, so no task holds more than two blocks at a time however many hold a shingle.
+    With ``spanning``, a thinned share of the shingles is looked at and at most one pair for each class is returned: a
+    first round that connects most of what is alike. The full round then proves what is left.
     """
     if not spanning:
         ends = posted.join(classes.select("row", "comp"), "row").groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
         posted = posted.join(ends.filter("c < d").select("token"), "token", "left_semi")
+    else:
+        posted = posted.filter("token % thin = 0")
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
     rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").withColumn("own", F.pmod(F.xxhash64("row", "token"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select(F.col("token").cast("long").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "comp", F.col("n"), F.col("ell").cast("long").alias("ell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "bits")
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long")
-    if spanning:
-        return pairs.select("a", "b").distinct()
+    pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long, apart long")
+    if spanning:  # the likeliest partner of each class
+        best = F.min_by("a", F.struct(-F.col("shared"), "apart", "a"))
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("apart").alias("apart")).groupBy("b").agg(best.alias("a")).select("a", "b")
     # every shared prefix shingle of a pair comes once: as many as the shorter lengthening asks for must be shared
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("ell").alias("ell")).filter("shared >= ell").select("a", "b")
 
