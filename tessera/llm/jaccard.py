@@ -227,8 +227,9 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
 
     Shingles held within one component are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
     each pair of blocks is one group, so no task holds more than two blocks at a time however many hold a shingle.
-    With ``spanning``, a thinned share of the shingles is looked at and at most one pair for each class is returned: a
-    first round that connects most of what is alike. The full round then proves what is left.
+    With ``spanning``, a thinned share of the shingles is looked at, each block by itself (every shingle deals its holders
+    anew, so blocks of different shingles overlap), and at most one pair for each class is returned: a first round that
+    connects most of what is alike. The full round then proves what is left.
     """
     if not spanning:
         ends = posted.join(classes.select("row", "comp"), "row").groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
@@ -237,7 +238,7 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
         posted = posted.filter("token % thin = 0")
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
     rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").withColumn("own", F.pmod(F.xxhash64("row", "token"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select(F.col("token").cast("long").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "comp", F.col("n"), F.col("ell").cast("long").alias("ell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "bits")
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long, apart long")
