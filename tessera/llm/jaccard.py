@@ -3,8 +3,8 @@
 Shingles are ordered alike in all documents, rare ones first. Of two sets that share at least t members, the prefixes
 that leave out t - l members share at least l. Each document takes the l that its estimated candidates make cheapest:
 a longer prefix finds more partners but asks for more shared members before a pair is verified. Equal sets are one class
-throughout, pairs are compared in bounded blocks, and pairs whose classes are already connected are left out, so a group
-of near copies costs links, not all its pairs.
+throughout, pairs are compared in bounded blocks, and pairs whose classes are already connected are left out. A few rounds
+that verify only the likeliest pairs connect most of a group of near copies, before all that is left is compared.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ MOST_WORDS = 32
 THIN_TO = 16
 BLOCK = 512
 BROADCAST_IDS = 2_000_000
+SPANNING_ROUNDS = 3
 
 
 def frequent_shingles(df: DataFrame, id_col: str, text_col: str, k: int) -> np.ndarray:
@@ -69,8 +70,11 @@ def _classes(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def bitmap_words(n: np.ndarray) -> np.ndarray:
-    """64-bit words of the bitmaps of sets of n members: powers of two from 4 to MOST_WORDS, more than a bit for a member."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 48)).clip(0).astype(np.int64), 4, MOST_WORDS)
+    """64-bit words of the bitmaps of sets of n members: powers of two from 4 to MOST_WORDS, more than two bits for a member.
+
+    Small sets have more than five bits for a member, as a few members decide on them.
+    """
+    return np.clip(1 << np.ceil(np.log2(np.maximum(np.maximum(n, 1) / 24, np.minimum(n / 12, 8)))).clip(0).astype(np.int64), 4, MOST_WORDS)
 
 
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -222,20 +226,20 @@ def _block_pairs(num: int, den: int, spanning: bool):
     return run
 
 
-def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
+def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanning: bool, connected: bool) -> DataFrame:
     """(a, b) pairs of classes of different components to verify; ``classes`` has row, n, bits and comp.
 
-    Shingles held within one component are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
+    With ``connected`` (some classes share a component) shingles held within one are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
     each pair of blocks is one group, so no task holds more than two blocks at a time however many hold a shingle.
     With ``spanning``, a thinned share of the shingles is looked at, each block by itself (every shingle deals its holders
-    anew, so blocks of different shingles overlap), and at most one pair for each class is returned: a first round that
-    connects most of what is alike. The full round then proves what is left.
+    anew, so blocks of different shingles overlap), and at most one pair for each class is returned: rounds that connect
+    most of what is alike. The full round then proves what is left.
     """
-    if not spanning:
+    if spanning:
+        posted = posted.filter("token % thin = 0")
+    if connected:
         ends = posted.join(classes.select("row", "comp"), "row").groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
         posted = posted.join(ends.filter("c < d").select("token"), "token", "left_semi")
-    else:
-        posted = posted.filter("token % thin = 0")
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
     rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").withColumn("own", F.pmod(F.xxhash64("row", "token"), parts).cast("int"))
     rows = rows.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -243,7 +247,7 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
     placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long, apart long")
     if spanning:  # the likeliest partner of each class
-        best = F.min_by("a", F.struct(-F.col("shared"), "apart", "a"))
+        best = F.min_by("a", F.struct("apart", -F.col("shared"), "a"))
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("apart").alias("apart")).groupBy("b").agg(best.alias("a")).select("a", "b")
     # every shared prefix shingle of a pair comes once: as many as the shorter lengthening asks for must be shared
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("ell").alias("ell")).filter("shared >= ell").select("a", "b")
@@ -302,12 +306,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posted = written(postings(classes, num, den))
     held = written(classes.select("row", "n", "bits").join(posted.select("row").distinct(), "row", "left_semi"))
 
-    first = candidates(posted, held.withColumn("comp", F.col("row")), num, den, spanning=True)
-    links = written(linked(written(first), docs, found, id_col, text_col, k, num, den))
-    comps = written(connected_components(links, "a", "b"))
-    joined = written(held.join(comps, held["row"] == comps["node"], "left").select("row", "n", "bits", F.coalesce("component", "row").alias("comp")))
-    more = linked(written(candidates(posted, joined, num, den, spanning=False)), docs, found, id_col, text_col, k, num, den)
-    comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+    joined, comps = held.withColumn("comp", F.col("row")), None
+    for i in range(SPANNING_ROUNDS + 1):
+        pairs = written(candidates(posted, joined, num, den, spanning=i < SPANNING_ROUNDS, connected=i > 0))
+        links = linked(pairs, docs, found, id_col, text_col, k, num, den)
+        edges = links if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        comps = written(connected_components(edges, "a", "b"))
+        if i < SPANNING_ROUNDS:
+            joined = written(held.join(comps, held["row"] == comps["node"], "left").select("row", "n", "bits", F.coalesce("component", "row").alias("comp")))
 
     placed = reps.join(comps, reps["row"] == comps["node"], "left").select("cls", "class_id", F.coalesce("component", "row").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("class_id").alias("component_id"))
