@@ -306,14 +306,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posted = written(postings(classes, num, den))
     held = written(classes.select("row", "n", "bits").join(posted.select("row").distinct(), "row", "left_semi"))
 
-    joined, comps = held.withColumn("comp", F.col("row")), None
-    for i in range(SPANNING_ROUNDS + 1):
-        pairs = written(candidates(posted, joined, num, den, spanning=i < SPANNING_ROUNDS, connected=i > 0))
-        links = linked(pairs, docs, found, id_col, text_col, k, num, den)
-        edges = links if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
-        comps = written(connected_components(edges, "a", "b"))
-        if i < SPANNING_ROUNDS:
+    joined, comps, spanning, connected = held.withColumn("comp", F.col("row")), None, SPANNING_ROUNDS, False
+    while True:
+        pairs = written(candidates(posted, joined, num, den, spanning > 0, connected))
+        n = pairs.count()
+        if n or comps is None:
+            links = written(linked(pairs, docs, found, id_col, text_col, k, num, den))
+            edges = links if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+            comps = written(connected_components(edges, "a", "b"))
+        if not spanning:
+            break
+        if n:
             joined = written(held.join(comps, held["row"] == comps["node"], "left").select("row", "n", "bits", F.coalesce("component", "row").alias("comp")))
+        # a round of which less than half links leaves the rest to the full one
+        spanning, connected = (spanning - 1 if n and 2 * links.count() >= n else 0), True
 
     placed = reps.join(comps, reps["row"] == comps["node"], "left").select("cls", "class_id", F.coalesce("component", "row").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("class_id").alias("component_id"))
