@@ -2,11 +2,13 @@
 
 Numbers, names and units become typed placeholders, so a question that was asked again with other values has the same
 template. Windows of template tokens are joined by hash with those of the benchmark, and the values that stand in the
-slots are compared: a re-asked question puts one value for one value throughout.
+slots are compared: a re-asked question puts one name for one name throughout. Each place of a document where an item
+stands is tested by itself, and then the whole document.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -20,6 +22,7 @@ from tessera.llm.textops import map_text, mix, powers, text_slices, without_ids,
 WINDOW = 8
 MIN_TOKENS = 5
 MIN_COVERAGE = 0.5
+GAP_SHARE = 0.25
 MAX_BROADCAST_WINDOWS = 2_000_000
 MAX_VOCABULARY = 500_000
 UNITS = frozenset("mm cm m km inch inches ft foot feet yd yards mi mile miles mg g kg lb lbs oz ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros cent cents kmh mph km/h m/s °c °f degrees kw hz khz mhz ghz kb mb gb tb".split())
@@ -137,7 +140,10 @@ def benchmark_windows(benchmark: DataFrame, known: frozenset[str], id_col: str =
 
 
 def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int, ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, window, slots) of all documents, once for each document; only windows among ``wanted`` if that is given."""
+    """(doc_id, row, at, window, slots) of all documents by token position; only windows among ``wanted`` if that is given.
+
+    ``row`` tells rows with equal ids apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((known, wanted))  # the caller has checked the sizes
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -146,10 +152,9 @@ def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int,
         codes_of = _Codes(known)
         for batch in batches:
             for part in text_slices(batch, 1):
-                at, win, slots = [], [], []
+                at, places, win, slots = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     codes, raw = template(t or "", codes_of)
-                    seen = set()
                     for w in widths:
                         h = windows(codes, w)
                         if wanted is not None and len(h):
@@ -159,26 +164,83 @@ def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int,
                         else:
                             hits = np.flatnonzero(h)
                         for p in hits:
-                            values = slot_values(codes, raw, p, w, known)
-                            if (key := (int(h[p].view(np.int64)), *values)) not in seen:
-                                seen.add(key)
-                                at.append(i)
-                                win.append(key[0])
-                                slots.append(values)
+                            at.append(i)
+                            places.append(p)
+                            win.append(int(h[p].view(np.int64)))
+                            slots.append(slot_values(codes, raw, p, w, known))
                 if at:
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(win, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "window", "slots"])
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(places, pa.int32()), pa.array(win, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "row", "at", "window", "slots"])
+
+    read = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string"), F.monotonically_increasing_id().alias("row"))
+    return read.mapInArrow(run, f"doc_id {kind}, row long, at int, window long, slots array<string>")
+
 
-    read = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string"))
-    return read.mapInArrow(run, f"doc_id {kind}, window long, slots array<string>")
+def _occurrence(hits: list[dict], n_tokens: int, min_coverage: float) -> dict | None:
+    """What an occurrence made of these hits is, or None: too few of the item's tokens, or names not put one for one."""
+    places = {p for h in hits for p in range(h["pos"], h["pos"] + h["width"])}
+    if len(places) < min_coverage * n_tokens:
+        return None
+    values = {v for h in hits for v in zip(h["own"], h["put"], strict=True)}
+    names = [v for v in values if v[0][0] == str(NAME)]
+    if len({own for own, _ in names}) < len(names) or len({put for _, put in names}) < len(names):
+        return None
+    return {"verbatim": all(own == put for own, put in values), "coverage": len(places) / n_tokens, "n_windows": len({h["pos"] for h in hits}), "n_slots": len(values)}
+
+
+def best_occurrence(hits: list[dict], n_tokens: int, min_coverage: float) -> dict | None:
+    """The best occurrence of an item in one text, or None. A hit has at, pos, width, own and put.
+
+    Hits of one copy have one alignment, at - pos, which moves by as many tokens as an edit puts in or takes out. So for
+    each alignment two occurrences are tested: its own hits, and for each place of the item the nearest hit that is at
+    most GAP_SHARE of the item's tokens off. Numbers and units are free, as two quantities may be equal by chance.
+    """
+    lines: dict[int, list[dict]] = {}
+    for h in hits:
+        lines.setdefault(h["at"] - h["pos"], []).append(h)
+    order, gap = sorted(lines), max(1, int(GAP_SHARE * n_tokens))
+    rank = lambda x: (x["verbatim"], x["coverage"], x["n_windows"], x["n_slots"])
+    best = None
+    for line in sorted(order, key=lambda a: (-len(lines[a]), a)):
+        near: dict[tuple[int, int], dict] = {}
+        band = order[bisect.bisect_left(order, line - gap) : bisect.bisect_right(order, line + gap)]
+        for a in sorted(band, key=lambda a: abs(a - line)):
+            for h in lines[a]:
+                near.setdefault((h["pos"], h["width"]), h)
+        for found in (lines[line], list(near.values())) if len(band) > 1 else (lines[line],):
+            if (x := _occurrence(found, n_tokens, min_coverage)) and (best is None or rank(x) > rank(best)):
+                best = x
+        if best and best["verbatim"] and best["coverage"] == 1:
+            break
+    return best
+
+
+def _rows_of_pairs(hits: DataFrame, kind: str, item_kind: str, min_coverage: float) -> DataFrame:
+    """For each row of ``hits`` (doc_id, item_id, n_tokens, hits): its best occurrence, and what the whole text holds."""
+    value = pa.struct([("own", pa.string()), ("put", pa.string())])
+    best = pa.struct([("verbatim", pa.bool_()), ("coverage", pa.float64()), ("n_windows", pa.int64()), ("n_slots", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            places, starts, values, found = [], [], [], []
+            for n, hits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                places.append(sorted({p for h in hits for p in range(h["pos"], h["pos"] + h["width"])}))
+                starts.append(sorted({h["pos"] for h in hits}))
+                values.append([{"own": own, "put": put} for own, put in sorted({v for h in hits for v in zip(h["own"], h["put"], strict=True)})])
+                found.append(best_occurrence(hits, n, min_coverage))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(values, pa.list_(value)), pa.array(found, best)], names=["doc_id", "item_id", "n_tokens", "places", "starts", "values", "best"])
+
+    return hits.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_tokens int, places array<int>, starts array<int>, values array<struct<own:string,put:string>>, best struct<verbatim:boolean,coverage:double,n_windows:bigint,n_slots:bigint>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, min_coverage: float = MIN_COVERAGE, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and benchmark item it holds: doc_id, item_id, coverage, n_windows, n_slots, kind.
 
-    A pair is reported if template windows cover at least ``min_coverage`` of the item's tokens and the slots agree: every
-    value of the item's slots is replaced by one value, and no two by the same. kind is ``verbatim`` if all values are the
-    item's own, else ``re-parameterised``. Of several values in one place (a document that holds an item in more than one
-    form) the pair is kept if the item's own values occur.
+    A pair is reported if an occurrence of the item in a text passes, or if the document does as a whole. An occurrence
+    (see ``best_occurrence``) passes if template windows cover at least ``min_coverage`` of the item's tokens and its names
+    are put one for one. A document, whose pieces of the item may be anywhere, passes if windows cover as much and every
+    value, numbers too, is put one for one or the item's own values all occur. kind is ``verbatim`` if all values are the
+    item's own, else ``re-parameterised``. Figures are those of the document if it passes, else of its best occurrence.
 
     A null or empty text holds nothing; a null id is a document of its own name; rows with equal ids count as one
     document. Repeated benchmark items are found under each id. Only ids and texts are read, so other columns cannot
@@ -198,15 +260,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = document_windows(docs, known, widths, wanted, id_col, text_col).withColumnRenamed("slots", "theirs")
     pairs = found.join(items, "window")
     # what a place of the item says, and what the document puts there
-    matched = pairs.select(
-        "doc_id", "item_id", "n_tokens", "pos", "width",
-        F.arrays_zip(F.col("slots").alias("own"), F.col("theirs").alias("put")).alias("values"),
-    )
-    grouped = matched.groupBy("doc_id", "item_id").agg(
+    hit = F.struct("at", "pos", "width", F.col("slots").alias("own"), F.col("theirs").alias("put"))
+    rows = pairs.groupBy("doc_id", "row", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(hit).alias("hits")).drop("row")
+    type_of = lambda c: rows.schema[c].dataType.simpleString()
+    grouped = _rows_of_pairs(rows, type_of("doc_id"), type_of("item_id"), min_coverage).groupBy("doc_id", "item_id").agg(
         F.max("n_tokens").alias("n_tokens"),
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("width") - 1)))).alias("places"),  # an item's tokens at most
-        F.count_distinct("pos").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"),  # an item's tokens at most
+        F.size(F.array_distinct(F.flatten(F.collect_set("starts")))).cast("long").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
+        F.max("best").alias("best"),
     )
     distinct = lambda c: F.size(F.array_distinct(F.transform("values", lambda v: v[c])))
     n_values = F.size("values")
@@ -214,8 +276,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     holds_own = F.size(F.array_except(F.transform("values", lambda v: v["own"]), F.transform(F.filter("values", lambda v: v["own"] == v["put"]), lambda v: v["own"]))) == 0
     coverage = F.size("places") / F.col("n_tokens")
     consistent = (distinct("own") == n_values) & (distinct("put") == n_values)
-    return grouped.filter((coverage >= min_coverage) & (consistent | holds_own)).select(
-        "doc_id", "item_id", F.round(coverage, 4).alias("coverage"), "n_windows", n_values.cast("long").alias("n_slots"), F.when(verbatim | holds_own, "verbatim").otherwise("re-parameterised").alias("kind")
+    whole = (coverage >= min_coverage) & (consistent | holds_own)
+    figure = lambda of_whole, name: F.when(whole, of_whole).otherwise(F.col("best")[name])
+    return grouped.filter(whole | F.col("best").isNotNull()).select(
+        "doc_id", "item_id", F.round(figure(coverage, "coverage"), 4).alias("coverage"), figure(F.col("n_windows"), "n_windows").alias("n_windows"), figure(n_values.cast("long"), "n_slots").alias("n_slots"), F.when(figure(verbatim | holds_own, "verbatim"), "verbatim").otherwise("re-parameterised").alias("kind")
     )
 
 

@@ -415,3 +415,24 @@ def test_decontamination_edges(spark, items, docs, no_docs, clashing):
     kept = decontamination.drop_leaks(spark.createDataFrame(leak_docs(), "doc_id long, text string"), items)
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [3, 5, 6, 7, 8, 10]
     assert decontamination.drop_leaks(clashing, items).columns == clashing.columns
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_each_occurrence_is_tested(spark, most):
+    ask = "{0} has {1} apples and gives {2} kg of them away, so how many apples does {0} keep in the old basket?".format
+    fruit = "the farmer puts {} ripe apples and {} green pears into one box before the market opens".format
+    f = "other words stand here before and after what was taken from elsewhere " * 5
+    items = spark.createDataFrame([(1, ask("Tom", 12, 5)), (2, fruit(5, 5))], "item_id long, text string")
+    rows = [
+        (1, f"{ask('Bob', 30, 7)} {f} {ask('Sam', 12, 4)}"),
+        (2, f"{ask('Bob', 30, 7)} {f} Eve has 9 apples and gives 8 kg of them"),
+        (3, f"{f} {fruit(7, 9)} {f}"),
+        (4, f"{ask('Bob', 30, 7).replace('away', 'quite away')} {f} {ask('Sam', 12, 4).replace('away,', '')}"),
+        (5, f"Bob has 30 apples and gives 7 kg of them away, {f} so how many apples does Bob keep in the old basket?"),
+        (6, ask("Bob", 30, 7).replace("does Bob", "does Sam")),
+        (7, f"{ask('Bob', 30, 7)} {f} {ask('Tom', 12, 5)}"),
+    ]
+    got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_broadcast_windows=most).collect()
+    kinds = {(r["doc_id"], r["item_id"]): r["kind"] for r in got}
+    assert kinds == {(1, 1): "re-parameterised", (2, 1): "re-parameterised", (3, 2): "re-parameterised", (4, 1): "re-parameterised", (5, 1): "re-parameterised", (7, 1): "verbatim"}
+    assert all(r["coverage"] == 1 for r in got if r["doc_id"] in (1, 2, 3, 7))
