@@ -21,6 +21,7 @@ from tessera.llm.textops import map_text, mix, powers, text_slices, without_ids,
 
 WINDOW = 8
 MIN_TOKENS = 5
+MIN_LITERAL = 2
 MIN_COVERAGE = 0.5
 GAP_SHARE = 0.25
 MAX_BROADCAST_WINDOWS = 2_000_000
@@ -31,6 +32,7 @@ _GLUED = re.compile(r"(\d)(?=[^\W\d_]|[%°])")
 _EDGE = re.compile(r"^[^\w$€£+°%-]+|[^\w%°$€£]+$")
 _USUAL = ".,;:!?'\"()[]{}<>*&#|/"
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
+_LITERAL = np.uint64(0x51_7E_A1)
 _PLACEHOLDER = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
 
@@ -59,10 +61,12 @@ class _Codes(dict):
     def __init__(self, known: frozenset[str]):
         super().__init__()
         self.known = known
+        self.values: dict[str, int] = {}
 
     def __missing__(self, raw: str) -> int:
         if len(self) > 300_000:
             self.clear()
+            self.values.clear()
         token = raw.strip(_USUAL)
         if token.isalpha() and token.islower() and token not in UNITS:
             kind, value = WORD, token  # what canonical() says of most tokens
@@ -73,6 +77,16 @@ class _Codes(dict):
         return code
 
 
+    def literal(self, codes: np.ndarray, raw: list[str]) -> np.ndarray:
+        """The codes with those of types replaced by codes of the tokens' values."""
+        out = codes.copy()
+        for j in np.flatnonzero(codes & np.uint64(3)):
+            if (code := self.values.get(raw[j])) is None:
+                code = self.values[raw[j]] = (xxhash.xxh3_64_intdigest(canonical(raw[j], self.known)[1]) | 4) & ~3
+            out[j] = code
+        return out
+
+
 def template(text: str, codes: _Codes) -> tuple[np.ndarray, list[str]]:
     """Codes of a text's tokens, and the tokens as written; tokens without content are left out."""
     if _GLUED.search(text):
@@ -87,17 +101,31 @@ def template(text: str, codes: _Codes) -> tuple[np.ndarray, list[str]]:
 
 def windows(codes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` codes; 0 where fewer than half of them are words."""
-    m = len(codes) - width + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
+    h = _runs(codes, width)
+    return np.where(few_words(codes, width), np.uint64(0), mix(h + np.uint64(width)) | np.uint64(1))
+
+
+def literal_windows(literal: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` literal codes, other than that of a template."""
+    return mix(_runs(literal, width) + np.uint64(width) + _LITERAL) | np.uint64(1)
+
+
+def _runs(codes: np.ndarray, width: int) -> np.ndarray:
+    m = max(0, len(codes) - width + 1)
     steps, _ = powers(width + 1)
     with np.errstate(over="ignore"):
         h, mixed = np.zeros(m, np.uint64), mix(codes)
-        for j in range(width):
+        for j in range(width if m else 0):
             h += mixed[j : j + m] * steps[j + 1]
-        before = np.concatenate([[0], np.cumsum((codes & np.uint64(3)) == 0)])
-        words = before[width:] - before[:-width]
-        return np.where(2 * words >= width, mix(h + np.uint64(width)) | np.uint64(1), np.uint64(0))
+    return h
+
+
+def few_words(codes: np.ndarray, width: int) -> np.ndarray:
+    """Whether fewer than half of each run of ``width`` codes are words."""
+    if len(codes) < width:
+        return np.zeros(0, bool)
+    before = np.concatenate([[0], np.cumsum((codes & np.uint64(3)) == 0)])
+    return 2 * (before[width:] - before[:-width]) < width
 
 
 def slot_values(codes: np.ndarray, raw: list[str], at: int, width: int, known: frozenset[str]) -> list[str]:
@@ -116,33 +144,39 @@ def _benchmark_words(benchmark: DataFrame, text_col: str) -> frozenset[str]:
 
 
 def benchmark_windows(benchmark: DataFrame, known: frozenset[str], id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(window, item_id, pos, slots, n_tokens, width) of all items; an item shorter than ``width`` is one window.
+    """(window, item_id, pos, slots, n_tokens, width, literal) of all items; one shorter than ``width`` is one window.
 
-    Items of fewer than MIN_TOKENS tokens are left out: so short a text is found everywhere by chance.
+    A window of few words has no template, as other values would make it any text: its literal tokens are hashed. Of the
+    items of fewer than MIN_TOKENS tokens, those of few words and MIN_LITERAL tokens at least are one literal window; the
+    others are left out: so short a text is found everywhere by chance.
     """
 
     def cut(batch: pa.RecordBatch) -> dict | None:
         codes_of = _Codes(known)
-        out: dict[str, list] = {k: [] for k in ("window", "item_id", "pos", "slots", "n_tokens", "width")}
+        out: dict[str, list] = {k: [] for k in ("window", "item_id", "pos", "slots", "n_tokens", "width", "literal")}
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes, raw = template(t or "", codes_of)
-            if len(codes) < MIN_TOKENS:
+            if len(codes) < MIN_LITERAL:
                 continue
             w = min(width, len(codes))
-            for pos, h in enumerate(windows(codes, w)):
-                if h:
-                    for k, v in zip(out, (int(np.int64(h.view(np.int64))), i, pos, slot_values(codes, raw, pos, w, known), len(codes), w), strict=True):
-                        out[k].append(v)
-        return {"window": pa.array(out["window"], pa.int64()), "item_id": pa.array(out["item_id"], batch.schema.field(0).type), "pos": pa.array(out["pos"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.string())), "n_tokens": pa.array(out["n_tokens"], pa.int32()), "width": pa.array(out["width"], pa.int32())}
+            few = few_words(codes, w)
+            if len(codes) < MIN_TOKENS and not few[0]:
+                continue
+            hashes = np.where(few, literal_windows(codes_of.literal(codes, raw), w), windows(codes, w))
+            for pos, (h, literal) in enumerate(zip(hashes, few, strict=True)):
+                for k, v in zip(out, (int(h.view(np.int64)), i, pos, slot_values(codes, raw, pos, w, known), len(codes), w, bool(literal)), strict=True):
+                    out[k].append(v)
+        return {"window": pa.array(out["window"], pa.int64()), "item_id": pa.array(out["item_id"], batch.schema.field(0).type), "pos": pa.array(out["pos"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.string())), "n_tokens": pa.array(out["n_tokens"], pa.int32()), "width": pa.array(out["width"], pa.int32()), "literal": pa.array(out["literal"], pa.bool_())}
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    return map_text(benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].cast("string")), 1, cut, f"window long, item_id {kind}, pos int, slots array<string>, n_tokens int, width int")
+    return map_text(benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].cast("string")), 1, cut, f"window long, item_id {kind}, pos int, slots array<string>, n_tokens int, width int, literal boolean")
 
 
-def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int, ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
+def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[tuple[int, bool], ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, at, window, slots) of all documents by token position; only windows among ``wanted`` if that is given.
 
-    ``row`` tells rows with equal ids apart.
+    ``row`` tells rows with equal ids apart; ``widths`` are those of the benchmark, (width, literal). Literal windows have
+    no slots: their values are the benchmark's.
     """
     shared = docs.sparkSession.sparkContext.broadcast((known, wanted))  # the caller has checked the sizes
     kind = docs.schema[id_col].dataType.simpleString()
@@ -155,8 +189,9 @@ def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int,
                 at, places, win, slots = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     codes, raw = template(t or "", codes_of)
-                    for w in widths:
-                        h = windows(codes, w)
+                    literal = codes_of.literal(codes, raw) if any(x for _, x in widths) else codes
+                    for w, is_literal in widths:
+                        h = literal_windows(literal, w) if is_literal else windows(codes, w)
                         if wanted is not None and len(h):
                             near = np.searchsorted(wanted, h)
                             near[near == len(wanted)] = 0
@@ -167,7 +202,7 @@ def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[int,
                             at.append(i)
                             places.append(p)
                             win.append(int(h[p].view(np.int64)))
-                            slots.append(slot_values(codes, raw, p, w, known))
+                            slots.append(None if is_literal else slot_values(codes, raw, p, w, known))
                 if at:
                     rows = pa.array(at)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(places, pa.int32()), pa.array(win, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "row", "at", "window", "slots"])
@@ -236,6 +271,8 @@ def _rows_of_pairs(hits: DataFrame, kind: str, item_kind: str, min_coverage: flo
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, min_coverage: float = MIN_COVERAGE, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and benchmark item it holds: doc_id, item_id, coverage, n_windows, n_slots, kind.
 
+    Windows of few words, and short items of few words, are found verbatim only (see ``benchmark_windows``).
+
     A pair is reported if an occurrence of the item in a text passes, or if the document does as a whole. An occurrence
     (see ``best_occurrence``) passes if template windows cover at least ``min_coverage`` of the item's tokens and its names
     are put one for one. A document, whose pieces of the item may be anywhere, passes if windows cover as much and every
@@ -251,7 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     known = _benchmark_words(benchmark, item_text_col)
     items = benchmark_windows(benchmark, known, item_col, item_text_col, width)
-    widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect()))  # MIN_TOKENS to width
+    widths = tuple(sorted((r["width"], r["literal"]) for r in items.select("width", "literal").distinct().collect()))  # MIN_LITERAL to width
     n = items.select("window").distinct().count()
     wanted = None
     if n <= max_broadcast_windows:
@@ -260,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = document_windows(docs, known, widths, wanted, id_col, text_col).withColumnRenamed("slots", "theirs")
     pairs = found.join(items, "window")
     # what a place of the item says, and what the document puts there
-    hit = F.struct("at", "pos", "width", F.col("slots").alias("own"), F.col("theirs").alias("put"))
+    hit = F.struct("at", "pos", "width", F.col("slots").alias("own"), F.coalesce("theirs", "slots").alias("put"))
     rows = pairs.groupBy("doc_id", "row", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(hit).alias("hits")).drop("row")
     type_of = lambda c: rows.schema[c].dataType.simpleString()
     grouped = _rows_of_pairs(rows, type_of("doc_id"), type_of("item_id"), min_coverage).groupBy("doc_id", "item_id").agg(

@@ -436,3 +436,14 @@ def test_each_occurrence_is_tested(spark, most):
     kinds = {(r["doc_id"], r["item_id"]): r["kind"] for r in got}
     assert kinds == {(1, 1): "re-parameterised", (2, 1): "re-parameterised", (3, 2): "re-parameterised", (4, 1): "re-parameterised", (5, 1): "re-parameterised", (7, 1): "verbatim"}
     assert all(r["coverage"] == 1 for r in got if r["doc_id"] in (1, 2, 3, 7))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_items_of_few_words_are_found_verbatim(spark, most):
+    f = "other words stand here before and after what was taken from elsewhere"
+    texts = ["12 + 30 = 42, 17 * 3 = 51, 9 - 4 = 5, 88 / 8 = 11", "Anders, Bjarne, Cecilie, Dagmar, Espen, Frode, Gudrun, Halvor, Ingrid, and Jorunn", "347 + 589 = 936", "find 12 km 30 m 5 cm 7 mm as one length"]
+    items = spark.createDataFrame([*enumerate(texts, 1), (5, "42"), (6, "short words here")], "item_id long, text string")
+    rows = [(i, f"{f} {t} {f}") for i, t in enumerate(texts, 1)]
+    rows += [(5, f"{f} 42 {f}"), (6, f"{f} short words here"), (7, f"{f} 348 + 589 = 937 and 13 + 31 = 44, 18 * 3 = 54, 8 - 4 = 4, 80 / 8 = 10"), (8, f"{f} {texts[1].upper()}")]
+    got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_broadcast_windows=most).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["kind"]) for r in got) == [*((i, i, 1.0, "verbatim") for i in (1, 2, 3, 4)), (8, 2, 1.0, "verbatim")]
