@@ -21,12 +21,13 @@ ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
-#: Weak parts; group "x" is the part.
+#: Weak parts, whole runs of any length; group "x" is the part. A weak secret also has what MIXED asks for.
 WEAK = {
-    "weak_id": re.compile(r"""(?<![A-Za-z0-9])(?P<x>(?:A[A-Z]IA[A-Z0-9]{8,}|(?i:user|username|login|client_?id|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,64}))""", re.ASCII),
-    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[A-Z0-9+/_=-]{0,80}[a-z])[A-Za-z0-9+/_=-]{20,80})(?![A-Za-z0-9+/_=-])"),
-    "endpoint": re.compile(r"(?P<x>(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{3,400})"),
+    "weak_id": re.compile(r"""(?<![A-Za-z0-9])(?P<x>(?:A[A-Z]IA[A-Z0-9]{8,}|(?i:user|username|login|client_?id|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}))""", re.ASCII),
+    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>[A-Za-z0-9+/_=-]{20,})"),
+    "endpoint": re.compile(r"(?P<x>(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{3,})"),
 }
+MIXED = (re.compile("[0-9]"), re.compile("[a-z]"))
 #: Which other kinds make up a credential with a weak part.
 PARTNERS = {"weak_id": ("assign", "hex", "weak_secret"), "weak_secret": ("access", "weak_id"), "endpoint": ("assign", "access", "weak_secret")}
 RANK = {kind: i for i, kind in enumerate((*KINDS, *WEAK))}
@@ -54,7 +55,7 @@ def _scopes(text: str, parts: list[tuple[int, int, str]], gap: int) -> list[int]
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], gap: int = SCOPE_CHARS) -> list[tuple[int, int, str]]:
     """Weak parts that share a scope, within ``gap`` code points, with a complementary part not overlapping them."""
-    weak = [(m.start("x"), m.end("x"), kind) for kind, pattern in WEAK.items() for m in pattern.finditer(text)]
+    weak = [(m.start("x"), m.end("x"), kind) for kind, pattern in WEAK.items() for m in pattern.finditer(text) if kind != "weak_secret" or all(x.search(m["x"]) for x in MIXED)]
     if not weak:
         return []
     strong = sorted((s, e) for s, e, _ in base)

@@ -203,6 +203,18 @@ def test_secret_scan_edges(docs, no_docs, clashing):
     assert secrets.scan_secrets(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("n", [20, 80, 81, 88, 100, 5000])
+def test_weak_parts_of_any_length(n):
+    key = ("Zx8kQp2LmN4v/B6c+R9tYw7_" * (n // 24 + 1))[:n]
+    t = f"client_id: alice {key} end"
+    assert secrets.all_spans(t) == [(0, 16, "weak_id", True), (17, 17 + n, "weak_secret", True)]
+    assert secrets.all_spans(f"client_id: alice {key.lower().translate({ord(c): 'x' for c in '0123456789'})}") == []
+    url = f"https://db.example.com/{'path/' * n}x"
+    assert secrets.all_spans(f"{url} password=abcdefgh12345")[0] == (0, len(url), "endpoint", True)
+    name = "user: " + "alice.smith@" * n
+    assert secrets.all_spans(f"{name} Zx8kQp2LmN4vB6cR9tYw7")[0] == (0, len(name), "weak_id", True)
+
+
 # ---------------------------------------------------------------- 8: fingerprints
 
 
