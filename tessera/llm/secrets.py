@@ -66,15 +66,22 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], gap: int = SCOPE_C
     weak = [w for w in weak if not ((i := bisect.bisect_left(firsts, w[1])) and reach[i - 1] > w[0])]
     parts = sorted([*base, *weak])
     scope = _scopes(text, parts, gap)
-    # An interval join by two sweeps: the nearest part of each kind in the same scope, before and after.
-    near: list[set[str]] = [set() for _ in parts]
-    for way in (range(len(parts)), range(len(parts) - 1, -1, -1)):
-        seen: dict[str, tuple[int, int, int]] = {}
-        for i in way:
-            start, end, kind = parts[i]
-            near[i] |= {k for k, (at, s, e) in seen.items() if at == scope[i] and max(start - e, s - end) <= gap and (e <= start or s >= end)}
-            seen[kind] = (scope[i], start, end)
-    return [p for p, kinds in zip(parts, near, strict=True) if p[2] in PARTNERS and kinds & {*PARTNERS[p[2]]}]
+    # An interval join: of each kind, the part that ends last before a part and the one that starts first after it. A part
+    # further off is never in the scope if that one is not, as scopes are runs of the parts in order.
+    ends: dict[str, list[tuple[int, int]]] = {}
+    starts: dict[str, list[tuple[int, int]]] = {}
+    for (start, end, kind), at in zip(parts, scope, strict=True):
+        ends.setdefault(kind, []).append((end, at))
+        starts.setdefault(kind, []).append((start, at))
+    for found in ends.values():
+        found.sort()
+
+    def linked(start: int, end: int, at: int, kind: str) -> bool:
+        before, after = ends.get(kind, []), starts.get(kind, [])
+        i, j = bisect.bisect_left(before, (start + 1,)), bisect.bisect_left(after, (end,))
+        return (i > 0 and before[i - 1][1] == at and start - before[i - 1][0] <= gap) or (j < len(after) and after[j][1] == at and after[j][0] - end <= gap)
+
+    return [p for p, at in zip(parts, scope, strict=True) if any(linked(p[0], p[1], at, kind) for kind in PARTNERS.get(p[2], ()))]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

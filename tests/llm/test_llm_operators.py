@@ -215,6 +215,29 @@ def test_weak_parts_of_any_length(n):
     assert secrets.all_spans(f"{name} Zx8kQp2LmN4vB6cR9tYw7")[0] == (0, len(name), "weak_id", True)
 
 
+def test_no_part_hides_another():
+    own, key = "Zx8kQp2LmN4vB6cR9tYw7Hd3Jf5Gs1Wq", "qW3eR5tY7uI9oP1aS3dF5gH7jK9lZ1xC3vB5nM7q"
+    t = f"client_id: {own}\n{key} end"
+    assert [(t[s:e], k) for s, e, k, linked in secrets.all_spans(t) if linked] == [(f"client_id: {own}", "weak_id"), (key, "weak_secret")]
+
+
+def test_linking_against_all_pairs():
+    rng = random.Random(7)
+    bits = ["client_id: Zx8kQp2LmN4vB6cR9tYw7Hd3", "user: bob", "qW3eR5tY7uI9oP1aS3dF5g", "https://a.example/x", "https://a.example/qW3eR5tY7uI9oP1aS3dF5g", "password=abcdefgh12345", "0123456789abcdef01", "AKIAABCDEFGHIJKLMN1", "ABIAABCDEFGHI1", "\n\n", "x" * 15, "word word word"]
+    n = 0
+    for _ in range(1500):
+        t = " ".join(rng.choice(bits) for _ in range(rng.randint(2, 14)))
+        gap = rng.choice([5, 20, 60])
+        base = secrets.base_spans(t)
+        weak = [(m.start("x"), m.end("x"), k) for k, pattern in secrets.WEAK.items() for m in pattern.finditer(t) if k != "weak_secret" or re.search("[0-9]", m["x"]) and re.search("[a-z]", m["x"])]
+        parts = sorted([*base, *(w for w in weak if not any(s < w[1] and e > w[0] for s, e, _ in base))])
+        scope = secrets._scopes(t, parts, gap)
+        want = [p for p, a in zip(parts, scope) if any(q[2] in secrets.PARTNERS.get(p[2], ()) and a == b and (0 <= p[0] - q[1] <= gap or 0 <= q[0] - p[1] <= gap) for q, b in zip(parts, scope))]
+        assert secrets.linked_spans(t, base, gap) == want, t
+        n += len(want)
+    assert n > 1000
+
+
 # ---------------------------------------------------------------- 8: fingerprints
 
 
