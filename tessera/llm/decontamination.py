@@ -36,21 +36,22 @@ _LITERAL = np.uint64(0x51_7E_A1)
 _PLACEHOLDER = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
 
-def canonical(raw: str, known: frozenset[str]) -> tuple[int, str]:
-    """(type, value) of one token: a placeholder type with its value in lower case, or a word. Empty value: no token.
+def canonical(raw: str, known: frozenset[str], names: frozenset[str] = frozenset()) -> tuple[int, str]:
+    """(type, value) of one token: a placeholder type with its case-folded value, or a word. Empty value: no token.
 
-    A name is a capitalised token whose lower-case form is not among ``known``, the benchmark's lower-case words; so the
-    type of a token depends on the token alone, wherever it stands.
+    A word among ``names``, which the benchmark always capitalises, is a name in any case, one among ``known``, its other
+    words, never; of all others the capitalised ones are names. So the type of a token depends on the token alone,
+    wherever it stands, and that of the benchmark's words not on case.
     """
     token = _EDGE.sub("", raw)
-    low = token.lower()
+    low = token.casefold()
     if not low:
         return WORD, ""
     if _NUMBER.fullmatch(token):
         return NUM, low
     if low in UNITS:
         return UNIT, low
-    if token[0].isupper() and low not in known:
+    if low in names or (token[0].isupper() and low not in known):
         return NAME, low
     return WORD, low
 
@@ -58,9 +59,9 @@ def canonical(raw: str, known: frozenset[str]) -> tuple[int, str]:
 class _Codes(dict):
     """64-bit codes of raw tokens, remembered; a type's code has the type in the two low bits, a word's has zeros."""
 
-    def __init__(self, known: frozenset[str]):
+    def __init__(self, known: frozenset[str], names: frozenset[str] = frozenset()):
         super().__init__()
-        self.known = known
+        self.known, self.names = known, names
         self.values: dict[str, int] = {}
 
     def __missing__(self, raw: str) -> int:
@@ -68,10 +69,10 @@ class _Codes(dict):
             self.clear()
             self.values.clear()
         token = raw.strip(_USUAL)
-        if token.isalpha() and token.islower() and token not in UNITS:
-            kind, value = WORD, token  # what canonical() says of most tokens
+        if token.isalpha() and token.islower() and token not in UNITS and (value := token.casefold()) not in self.names:
+            kind = WORD  # what canonical() says of most tokens
         else:
-            kind, value = canonical(raw, self.known)
+            kind, value = canonical(raw, self.known, self.names)
         code = 0 if not value else kind if kind else (xxhash.xxh3_64_intdigest(value) | 4) & ~3
         self[raw] = code
         return code
@@ -82,7 +83,7 @@ class _Codes(dict):
         out = codes.copy()
         for j in np.flatnonzero(codes & np.uint64(3)):
             if (code := self.values.get(raw[j])) is None:
-                code = self.values[raw[j]] = (xxhash.xxh3_64_intdigest(canonical(raw[j], self.known)[1]) | 4) & ~3
+                code = self.values[raw[j]] = (xxhash.xxh3_64_intdigest(canonical(raw[j], self.known, self.names)[1]) | 4) & ~3
             out[j] = code
         return out
 
@@ -128,31 +129,43 @@ def few_words(codes: np.ndarray, width: int) -> np.ndarray:
     return 2 * (before[width:] - before[:-width]) < width
 
 
-def slot_values(codes: np.ndarray, raw: list[str], at: int, width: int, known: frozenset[str]) -> list[str]:
+def slot_values(codes: np.ndarray, raw: list[str], at: int, width: int) -> list[str]:
     """Values in the slots of a window, each with its type."""
-    return [f"{int(c) & 3}:{canonical(raw[at + j], known)[1]}" for j, c in enumerate(codes[at : at + width]) if int(c) & 3]
+    return [f"{int(c) & 3}:{canonical(raw[at + j], frozenset())[1]}" for j, c in enumerate(codes[at : at + width]) if int(c) & 3]
 
 
-def _benchmark_words(benchmark: DataFrame, text_col: str) -> frozenset[str]:
-    """Lower-case words of the benchmark as it writes them; its MAX_VOCABULARY most frequent ones if there are more.
+def _benchmark_words(benchmark: DataFrame, text_col: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The benchmark's words as canonical() takes them, (known, names); its MAX_VOCABULARY most frequent if there are more.
 
-    That bounds what is broadcast; a capitalised form of a rarer word then counts as a name on both sides alike.
+    That bounds what is broadcast; the type of a rarer word depends on case, so its windows are hashed literally as well.
     """
-    rows = benchmark.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+")).alias("w")).filter(F.col("w") == F.lower("w"))
-    rows = rows.groupBy("w").count().orderBy(F.desc("count"), "w").limit(MAX_VOCABULARY)
-    return frozenset(x for r in rows.toLocalIterator() if (x := _EDGE.sub("", r["w"])))
 
+    def cut(batch: pa.RecordBatch) -> dict:
+        found = [canonical(raw, frozenset()) for t in batch.column(0).to_pylist() for raw in _GLUED.sub(r"\1 ", t or "").split()]
+        found = [(value, kind == WORD) for kind, value in found if value and kind in (WORD, NAME)]
+        return {"w": pa.array([x for x, _ in found], pa.string()), "small": pa.array([x for _, x in found], pa.bool_())}
 
-def benchmark_windows(benchmark: DataFrame, known: frozenset[str], id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    rows = map_text(benchmark.select(benchmark[text_col].cast("string")), 0, cut, "w string, small boolean")
+    rows = rows.groupBy("w").agg(F.count("*").alias("n"), F.max("small").alias("small")).orderBy(F.desc("n"), "w").limit(MAX_VOCABULARY)
+    words: dict[bool, list[str]] = {True: [], False: []}
+    for r in rows.toLocalIterator():
+        words[r["small"]].append(r["w"])
+    return frozenset(words[True]), frozenset(words[False])
+
+
+def benchmark_windows(benchmark: DataFrame, words: tuple[frozenset[str], frozenset[str]], id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """(window, item_id, pos, slots, n_tokens, width, literal) of all items; one shorter than ``width`` is one window.
 
-    A window of few words has no template, as other values would make it any text: its literal tokens are hashed. Of the
+    A window of few words has no template, as other values would make it any text: its literal tokens are hashed. One with
+    a word whose type depends on case (see ``_benchmark_words``) has both. Of the
     items of fewer than MIN_TOKENS tokens, those of few words and MIN_LITERAL tokens at least are one literal window; the
     others are left out: so short a text is found everywhere by chance.
     """
 
+    either = words[0] | words[1]
+
     def cut(batch: pa.RecordBatch) -> dict | None:
-        codes_of = _Codes(known)
+        codes_of = _Codes(*words)
         out: dict[str, list] = {k: [] for k in ("window", "item_id", "pos", "slots", "n_tokens", "width", "literal")}
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes, raw = template(t or "", codes_of)
@@ -162,28 +175,30 @@ def benchmark_windows(benchmark: DataFrame, known: frozenset[str], id_col: str =
             few = few_words(codes, w)
             if len(codes) < MIN_TOKENS and not few[0]:
                 continue
-            hashes = np.where(few, literal_windows(codes_of.literal(codes, raw), w), windows(codes, w))
-            for pos, (h, literal) in enumerate(zip(hashes, few, strict=True)):
-                for k, v in zip(out, (int(h.view(np.int64)), i, pos, slot_values(codes, raw, pos, w, known), len(codes), w, bool(literal)), strict=True):
-                    out[k].append(v)
+            open_word = np.array([c & 3 in (WORD, NAME) and canonical(r, *words)[1] not in either for c, r in zip(codes.tolist(), raw, strict=True)])
+            open_run = np.convolve(open_word, np.ones(w, int), "valid") > 0
+            for literal, wanted, hashes in ((False, ~few, windows(codes, w)), (True, few | open_run, literal_windows(codes_of.literal(codes, raw), w))):
+                for pos in np.flatnonzero(wanted).tolist():
+                    for k, v in zip(out, (int(hashes[pos].view(np.int64)), i, pos, slot_values(codes, raw, pos, w), len(codes), w, literal), strict=True):
+                        out[k].append(v)
         return {"window": pa.array(out["window"], pa.int64()), "item_id": pa.array(out["item_id"], batch.schema.field(0).type), "pos": pa.array(out["pos"], pa.int32()), "slots": pa.array(out["slots"], pa.list_(pa.string())), "n_tokens": pa.array(out["n_tokens"], pa.int32()), "width": pa.array(out["width"], pa.int32()), "literal": pa.array(out["literal"], pa.bool_())}
 
     kind = benchmark.schema[id_col].dataType.simpleString()
     return map_text(benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].cast("string")), 1, cut, f"window long, item_id {kind}, pos int, slots array<string>, n_tokens int, width int, literal boolean")
 
 
-def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[tuple[int, bool], ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
+def document_windows(docs: DataFrame, words: tuple[frozenset[str], frozenset[str]], widths: tuple[tuple[int, bool], ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, at, window, slots) of all documents by token position; only windows among ``wanted`` if that is given.
 
     ``row`` tells rows with equal ids apart; ``widths`` are those of the benchmark, (width, literal). Literal windows have
     no slots: their values are the benchmark's.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known, wanted))  # the caller has checked the sizes
+    shared = docs.sparkSession.sparkContext.broadcast((words, wanted))  # the caller has checked the sizes
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known, wanted = shared.value
-        codes_of = _Codes(known)
+        words, wanted = shared.value
+        codes_of = _Codes(*words)
         for batch in batches:
             for part in text_slices(batch, 1):
                 at, places, win, slots = [], [], [], []
@@ -202,7 +217,7 @@ def document_windows(docs: DataFrame, known: frozenset[str], widths: tuple[tuple
                             at.append(i)
                             places.append(p)
                             win.append(int(h[p].view(np.int64)))
-                            slots.append(None if is_literal else slot_values(codes, raw, p, w, known))
+                            slots.append(None if is_literal else slot_values(codes, raw, p, w))
                 if at:
                     rows = pa.array(at)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(places, pa.int32()), pa.array(win, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "row", "at", "window", "slots"])
@@ -286,15 +301,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     The benchmark's window hashes go to the tasks as a sorted array while there are at most ``max_broadcast_windows``, so
     documents send only windows that match; beyond that all windows are shuffled and joined by Spark.
     """
-    known = _benchmark_words(benchmark, item_text_col)
-    items = benchmark_windows(benchmark, known, item_col, item_text_col, width)
+    words = _benchmark_words(benchmark, item_text_col)
+    items = benchmark_windows(benchmark, words, item_col, item_text_col, width)
     widths = tuple(sorted((r["width"], r["literal"]) for r in items.select("width", "literal").distinct().collect()))  # MIN_LITERAL to width
     n = items.select("window").distinct().count()
     wanted = None
     if n <= max_broadcast_windows:
         wanted = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
         items = F.broadcast(items)
-    found = document_windows(docs, known, widths, wanted, id_col, text_col).withColumnRenamed("slots", "theirs")
+    found = document_windows(docs, words, widths, wanted, id_col, text_col).withColumnRenamed("slots", "theirs")
     pairs = found.join(items, "window")
     # what a place of the item says, and what the document puts there
     hit = F.struct("at", "pos", "width", F.col("slots").alias("own"), F.coalesce("theirs", "slots").alias("put"))

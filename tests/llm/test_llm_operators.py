@@ -482,3 +482,13 @@ def test_items_of_few_words_are_found_verbatim(spark, most):
     rows += [(5, f"{f} 42 {f}"), (6, f"{f} short words here"), (7, f"{f} 348 + 589 = 937 and 13 + 31 = 44, 18 * 3 = 54, 8 - 4 = 4, 80 / 8 = 10"), (8, f"{f} {texts[1].upper()}")]
     got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_broadcast_windows=most).collect()
     assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["kind"]) for r in got) == [*((i, i, 1.0, "verbatim") for i in (1, 2, 3, 4)), (8, 2, 1.0, "verbatim")]
+
+
+@pytest.mark.parametrize("words", [500_000, 3])
+def test_copies_in_another_case(spark, monkeypatch, words):
+    monkeypatch.setattr(decontamination, "MAX_VOCABULARY", words)
+    texts = ["Onhe went with Marla and Petrus to see the old Straße where Quill sold his last 3 red boats", "Thtieding met Onhe. Erensh was there. Marla left. Then Quill sang to them for an hour, and Oswin slept"]
+    items = spark.createDataFrame([*enumerate(texts)], "item_id long, text string")
+    rows = [(10 * i + j, f"words before it {f(t)} and words after it") for i, t in enumerate(texts) for j, f in enumerate((str, str.lower, str.upper, str.title, str.swapcase))]
+    got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["kind"]) for r in got) == [(d, d // 10, 1.0, "verbatim") for d, _ in rows]
