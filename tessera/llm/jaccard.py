@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.textops import map_text, mix, shingles, text_slices, without_ids, written
@@ -25,8 +25,12 @@ FREQUENT_BITS = 22
 MOST_WORDS = 32
 THIN_TO = 16
 BLOCK = 512
-BROADCAST_IDS = 2_000_000
+#: What is broadcast at most: rows of up to three numbers, BROADCAST_ROW bytes each once they are hashed.
+BROADCAST_BYTES = 64 << 20
+BROADCAST_ROW = 64
 SPANNING_ROUNDS = 3
+PAIRS_AT_ONCE = 1 << 15
+HUB = 64
 
 
 def frequent_shingles(df: DataFrame, id_col: str, text_col: str, k: int) -> np.ndarray:
@@ -142,7 +146,9 @@ def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     each = classes.select("row", base.alias("base"), most.alias("most"), F.posexplode("prefix").alias("pos", "token"))
     level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 1)
     packed = each.filter(level <= F.col("most")).select("token", (F.col("row") * 8 + level).alias("held"))
-    shared = written(packed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
+    # counts are combined before the shuffle, and AQE splits the join, so a shingle that all hold is no single task
+    several = packed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = written(packed.join(several, "token"))
     shared = shared.select("token", F.floor(F.col("held") / 8).alias("row"), (F.col("held") % 8).alias("level"), "df")
     scans = [F.sum(F.when(F.col("level") <= ell, F.col("df") - 1).otherwise(0)).alias(f"s{ell}") for ell in range(1, MAX_LENGTHEN + 1)]
     sums = shared.groupBy("row").agg(*scans, F.count(F.lit(1)).alias("held")).join(classes.select("row", most.alias("most")), "row")
@@ -152,53 +158,67 @@ def postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     return shared.join(chosen, "row").filter("level <= ell").select("token", "row", "ell", "df", "thin")
 
 
+def _widths(bits: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The words of each row's bitmap; for each width, each row's place in a table of the bitmaps at least as wide, folded."""
+    bounds = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
+    words, data = np.diff(bounds) // 8, np.frombuffer(bits.buffers()[2], np.uint8)
+    tables, wider = {}, (np.zeros(0, np.int64), None)
+    for w in sorted(set(words.tolist()), reverse=True):
+        own = np.flatnonzero(words == w)
+        table = data[bounds[own][:, None] + np.arange(8 * w)].view(np.uint64)
+        if wider[1] is not None:
+            table = np.concatenate([_folded(wider[1], w), table])
+        rows = np.concatenate([wider[0], own])
+        place = np.zeros(len(words), np.int32)
+        place[rows] = np.arange(len(rows))
+        tables[w], wider = (place, table), (rows, table)
+    return words, tables
+
+
 def _block_pairs(num: int, den: int, spanning: bool):
     """Candidates of each block of a shingle's holders: pairs of different components whose bitmaps allow enough in common.
 
-    With ``spanning``, only pairs that connect components within the block not yet connected there, nearest first.
+    A block's rows come in order of their classes, its guests last. With ``spanning`` each row gets the likeliest of the
+    rows before it, else each guest is compared with all rows that are no guests. Pairs are made and tested PAIRS_AT_ONCE.
     """
 
-    def compare(cls, comp, n, bits, side, ell):
-        values, counts = np.unique(comp, return_counts=True)
-        if len(values) < 2:
-            return []
-        two = side.max() > 0
-        rows = np.flatnonzero(side == 0) if two else np.flatnonzero(comp != values[counts.argmax()])
-        width = np.array([len(x) // 8 for x in bits])
-        by_width = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join([x for x in bits if len(x) == 8 * w]), np.uint64).reshape(-1, w)) for w in np.unique(width).tolist()}
-        cut: dict[tuple[int, int], np.ndarray] = {}
-        found = []
-        for i in rows:
-            mine = np.frombuffer(bits[i], np.uint64)[None]
-            for w, (at, table) in by_width.items():
-                ok = (comp[at] != comp[i]) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
-                ok &= (side[at] == 1) if two else (comp[at] == values[counts.argmax()]) | (at > i)
-                if not ok.any():
-                    continue
-                small = min(w, int(width[i]))
-                if (w, small) not in cut:
-                    cut[w, small] = _folded(table, small)
-                total = n[at][ok] + n[i]
-                room = total - 2 * -(-num * total // (num + den))
-                apart = np.bitwise_count(cut[w, small][ok] ^ _folded(mine, small)).sum(1, dtype=np.int64)
-                found += [(int(d), i, int(j)) for j, d in zip(at[ok][apart <= room], apart[apart <= room], strict=True)]
+    def blocks(table, cuts):
+        cls, comp, n, ell, guest, out = (table.column(i).to_numpy(zero_copy_only=False) for i in range(3, 9))
+        words, tables = _widths(table.column(9))
+        sizes = np.diff(cuts)
+        first, at = np.repeat(cuts[:-1], sizes), np.arange(cuts[-1])
         if spanning:
-            parent = {c: c for c in comp}
-
-            def root(c):
-                while parent[c] != c:
-                    parent[c] = c = parent[parent[c]]
-                return c
-
-            kept = []
-            for d, i, j in sorted(found):
-                if (a := root(comp[i])) != (b := root(comp[j])):
-                    parent[a] = b
-                    kept.append((d, i, j))
-            found = kept
-        return [(min(cls[i], cls[j]), max(cls[i], cls[j]), min(ell[i], ell[j]), d) for d, i, j in found]
-
-    def run(batches):
+            many = at - first
+        else:
+            hosts = np.add.reduceat((guest == 0).astype(np.int64), cuts[:-1])
+            many = np.where(guest == 1, np.repeat(hosts, sizes), 0)
+        ends = np.cumsum(many)
+        start = 0
+        while start < len(many):
+            done = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+            count = many[start:done]
+            i = np.repeat(np.arange(start, done), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[start:done], count)
+            start = done
+            ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            if not spanning:  # two that are both guests elsewhere meet twice
+                ok &= (out[j] == 0) | (cls[i] < cls[j])
+            i, j = i[ok], j[ok]
+            total, narrow = n[i] + n[j], np.minimum(words[i], words[j])
+            apart = np.zeros(len(i), np.int64)
+            for w, (place, bits) in tables.items():
+                if (s := np.flatnonzero(narrow == w)).size:
+                    apart[s] = np.bitwise_count(bits[place[i[s]]] ^ bits[place[j[s]]]).sum(1, dtype=np.int64)
+            ok = apart <= total - 2 * -(-num * total // (num + den))
+            i, j, apart = i[ok], j[ok], apart[ok]
+            if spanning and len(i):
+                runs = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                j = first[i[runs]] + (np.minimum.reduceat((apart << 32) | (j - first[i]), runs) & 0xFFFFFFFF)
+                apart, i = np.minimum.reduceat(apart, runs), i[runs]
+            if len(i):
+                yield np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(ell[i], ell[j]), apart])
+
+    def cut(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -207,21 +227,21 @@ def _block_pairs(num: int, den: int, spanning: bool):
             key = np.stack([table.column(i).to_numpy() for i in range(3)], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             done = int(cuts[-1]) if len(cuts) else 0
-            yield from blocks(table.slice(0, done), np.concatenate([[0], cuts]).astype(int)) if done else ()
+            if done:
+                yield from blocks(table.slice(0, done), np.concatenate([[0], cuts]).astype(int))
             held = [table.slice(done)]
         if held:
             yield from blocks(held[0], np.array([0, held[0].num_rows]))
 
-    def blocks(table, cuts):
-        cls, comp, n, ell, side = (table.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
-        bits = np.empty(table.num_rows, object)
-        bits[:] = table.column(8).to_pylist()
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                out += compare(cls[a:b], comp[a:b], n[a:b], bits[a:b], side[a:b], ell[a:b])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "ell", "apart"])
+    def run(batches):
+        held, size = [], 0
+        for found in cut(batches):
+            held, size = [*held, found], size + found.shape[1]
+            if size >= PAIRS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, 1)], names=["a", "b", "ell", "apart"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, 1)], names=["a", "b", "ell", "apart"])
 
     return run
 
@@ -229,22 +249,33 @@ def _block_pairs(num: int, den: int, spanning: bool):
 def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanning: bool, connected: bool) -> DataFrame:
     """(a, b) pairs of classes of different components to verify; ``classes`` has row, n, bits and comp.
 
-    With ``connected`` (some classes share a component) shingles held within one are left out first. A shingle's holders are dealt to blocks of about BLOCK, and
-    each pair of blocks is one group, so no task holds more than two blocks at a time however many hold a shingle.
-    With ``spanning``, a thinned share of the shingles is looked at, each block by itself (every shingle deals its holders
-    anew, so blocks of different shingles overlap), and at most one pair for each class is returned: rounds that connect
-    most of what is alike. The full round then proves what is left.
+    With ``connected`` (some classes share a component) shingles held within one are left out first. A shingle's holders
+    are dealt to blocks of about BLOCK. With ``spanning``, a thinned share of the shingles is looked at, each block by
+    itself (every shingle deals its holders anew, so blocks of different shingles overlap), and at most one pair for each
+    class is returned: rounds that connect most of what is alike. The full round then proves what is left: of each
+    shingle the holders outside its largest component are guests, in blocks of their own, and each block of guests meets
+    each block of holders. So a task holds two blocks at a time however many hold a shingle, and a holder is copied once
+    for each block of guests.
     """
     if spanning:
         posted = posted.filter("token % thin = 0")
     if connected:
-        ends = posted.join(classes.select("row", "comp"), "row").groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
-        posted = posted.join(ends.filter("c < d").select("token"), "token", "left_semi")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
-    rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").withColumn("own", F.pmod(F.xxhash64("row", "token"), parts).cast("int"))
-    rows = rows.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select(F.col("token").cast("long").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "comp", F.col("n"), F.col("ell").cast("long").alias("ell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "bits")
-    placed = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        held = posted.join(classes.select("row", "comp"), "row")
+        ends = held.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("token")
+        posted = held.drop("comp").join(ends, "token", "left_semi") if spanning else held.join(ends, "token", "left_semi")
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    deal = lambda c: F.pmod(F.xxhash64("row", "token"), parts(c)).cast("int")
+    if spanning:
+        rows = posted.join(classes.select("row", "n", "bits", "comp"), "row").select("*", deal("df").alias("own"), F.lit(0).alias("met"), F.lit(0).alias("guest"), F.lit(0).alias("out"))
+    else:
+        posted = written(posted if connected else posted.join(classes.select("row", "comp"), "row"))
+        main = posted.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("outs"))
+        rows = posted.join(main, "token").withColumn("out", (F.col("comp") != F.col("main")).cast("int")).join(classes.select("row", "n", "bits"), "row")
+        host = F.transform(F.sequence(F.lit(0), parts("outs") - 1), lambda g: F.struct(deal("df").alias("own"), g.alias("met"), F.lit(0).alias("guest")))
+        guest = F.transform(F.sequence(F.lit(0), parts("df") - 1), lambda b: F.struct(b.alias("own"), deal("outs").alias("met"), F.lit(1).alias("guest")))
+        rows = rows.withColumn("deal", F.explode(F.when(F.col("out") == 1, F.concat(host, guest)).otherwise(host))).select("*", "deal.*")
+    rows = rows.select(F.col("token").cast("long").alias("token"), *[F.col(c).cast("long").alias(c) for c in ("own", "met")], "row", "comp", "n", *[F.col(c).cast("long").alias(c) for c in ("ell", "guest", "out")], "bits")
+    placed = rows.repartition("token", "own", "met").sortWithinPartitions("token", "own", "met", "guest", "row")
     pairs = placed.mapInArrow(_block_pairs(num, den, spanning), "a long, b long, ell long, apart long")
     if spanning:  # the likeliest partner of each class
         best = F.min_by("a", F.struct("apart", -F.col("shared"), "a"))
@@ -256,12 +287,15 @@ def candidates(posted: DataFrame, classes: DataFrame, num: int, den: int, spanni
 def linked(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold, counted exactly; texts of the pairs' classes are read again.
 
-    The sets of b meet the pairs where they are made and move once, to the sets of a.
+    The sets of b meet the pairs where they are made and move once, to the sets of a. The set of an a with many partners
+    is copied for every HUB of them, so they are spread over as many tasks.
     """
     ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
     held = written(found.join(ends, "row", "left_semi").select("row", "cls", F.col("doc_id").alias("__id")))
-    few = held.count() <= BROADCAST_IDS and pairs.count() <= BROADCAST_IDS
-    small = F.broadcast if few else (lambda d: d)  # BROADCAST_IDS rows of three numbers; beyond that Spark shuffles
+    few = BROADCAST_ROW * max(held.count(), pairs.count()) <= BROADCAST_BYTES
+    small = F.broadcast if few else (lambda d: d)  # beyond that Spark shuffles
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")).filter("salts > 1")
+    pairs = written(pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")))
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -279,8 +313,10 @@ def linked(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, tex
         got = map_text(some, 1, sets, f"doc_id {kind}, cls long, members array<long>")
         return got.join(small(wanted), (got["cls"] == wanted["cls"]) & got["doc_id"].eqNullSafe(wanted["__id"])).select(F.col("row").alias(side), "members")
 
-    moved = members("b").join(small(pairs), "b").select("a", "b", F.col("members").alias("mb"))
-    both = moved.join(members("a").withColumnRenamed("members", "ma"), "a")
+    moved = members("b").join(small(pairs), "b").select("a", "b", "salt", F.col("members").alias("mb"))
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    copies = members("a").join(small(hubs), "a", "left").select("a", F.explode(salts).alias("salt"), F.col("members").alias("ma"))
+    both = moved.join(copies, ["a", "salt"])
     common = F.size(F.array_intersect("ma", "mb")).cast("long")
     return both.withColumn("common", common).filter(den * F.col("common") >= num * (F.size("ma") + F.size("mb") - F.col("common"))).select("a", "b").distinct()
 
@@ -302,7 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # one row stands for each class
     reps = written(sets.groupBy("cls").agg(F.min("row").alias("row"), F.min("doc_id").alias("class_id")))
     only = reps.select("row")
-    classes = sets.join(F.broadcast(only) if reps.count() <= BROADCAST_IDS else only, "row", "left_semi")
+    classes = sets.join(F.broadcast(only) if BROADCAST_ROW * reps.count() <= BROADCAST_BYTES else only, "row", "left_semi")
     posted = written(postings(classes, num, den))
     held = written(classes.select("row", "n", "bits").join(posted.select("row").distinct(), "row", "left_semi"))
 
