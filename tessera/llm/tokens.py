@@ -106,40 +106,43 @@ def scan_separators(blocks: DataFrame, end: int = END, width: int = 2) -> DataFr
 
     ``row`` counts a file's documents from 0, ``start`` is the place of its first token in the file, n_tokens leaves the
     separator out. A document that the file's end cuts off has closed false. Separators next to each other make empty
-    documents. Empty and null blocks are passed over. A block with bytes that are no whole token raises.
+    documents. Empty and null blocks are passed over. A block with bytes that are no whole token raises. Work and memory
+    follow the number of tokens, however short the documents.
     """
     kind = np.uint16 if width == 2 else np.uint32
+    name = blocks.schema["file"].dataType.simpleString()
+
+    def searched(batch):
+        for i in range(batch.num_rows):  # a block is some 100 kB; documents in it are found all at once
+            ids = np.frombuffer(batch.column(2)[i].as_py() or b"", kind)
+            if len(ids):
+                yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(ids), np.flatnonzero(ids == end)
 
-    def search(batches):
+    def measure(batches):
         for batch in batches:
-            files, numbers, n, seps, first, last, inner = [], [], [], [], [], [], []
-            for i in range(batch.num_rows):  # a block is some 100 kB; documents in it are found all at once
-                ids = np.frombuffer(batch.column(2)[i].as_py() or b"", kind)
-                if not len(ids):
-                    continue
-                at = np.flatnonzero(ids == end)
-                files.append(batch.column(0)[i].as_py())
-                numbers.append(batch.column(1)[i].as_py())
-                n.append(len(ids))
-                seps.append(len(at))
-                first.append(int(at[0]) if len(at) else None)
-                last.append(int(at[-1]) if len(at) else None)
-                inner.append((np.diff(at) - 1).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(files, batch.schema.field(0).type), pa.array(numbers, pa.int64()), pa.array(n, pa.int64()), pa.array(seps, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["file", "block", "n", "seps", "first", "last", "inner"])
+            found = [(f, b, n, len(at), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None) for f, b, n, at in searched(batch)]
+            kinds = [batch.schema.field(0).type, *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["file", "block", "n", "seps", "first", "last"])
 
-    name = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "data").mapInArrow(search, f"file {name}, block long, n long, seps long, first long, last long, inner array<long>")
-    # the prefix scan: a row for each block; a file of 2 GB has some thousand of them
+    def places(batches):
+        for batch in batches:
+            for f, b, _, at in searched(batch):  # a block at a time: one of nothing but separators has as many documents as tokens
+                for i in range(0, len(at), 1 << 15):
+                    m = len(at[i : i + (1 << 15)])
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * m, batch.schema.field(0).type), pa.array([b] * m, pa.int64()), pa.array(np.arange(i, i + m)), pa.array(np.where(np.arange(i, i + m) > 0, at[np.maximum(np.arange(i, i + m) - 1, 0)], -1)), pa.array(at[i : i + m])], names=["file", "block", "i", "before", "sep"])
+
+    blocks = blocks.select("file", "block", "data")
+    found = blocks.mapInArrow(measure, f"file {name}, block long, n long, seps long, first long, last long")
+    # the prefix scan: a row of numbers for each block; a file of 2 GB has some thousand of them
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     s = found.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("rows", F.coalesce(F.sum("seps").over(before), F.lit(0)))
     s = s.withColumn("open", F.coalesce(F.max(F.col("at") + F.col("last") + 1).over(before), F.lit(0)))  # where the open document began
-    s = s.withColumn("final", F.lead("block").over(order).isNull())
-    lengths = F.when(F.col("seps") > 0, F.concat(F.array(F.col("at") + F.col("first") - F.col("open")), "inner")).otherwise(F.array().cast("array<bigint>"))
-    closed = s.select("file", "rows", "open", F.posexplode(lengths).alias("i", "n_tokens"), F.col("at"), F.col("first"), "inner")
-    skipped = F.aggregate(F.slice("inner", F.lit(1), F.greatest(F.col("i") - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    start = F.when(F.col("i") == 0, F.col("open")).otherwise(F.col("at") + F.col("first") + 1 + skipped)
-    closed = closed.select("file", (F.col("rows") + F.col("i")).alias("row"), start.alias("start"), "n_tokens", F.lit(True).alias("closed"))
+    s = written(s.withColumn("final", F.lead("block").over(order).isNull()))
+    # each separator closes the document that began after the one before it
+    inside = blocks.mapInArrow(places, f"file {name}, block long, i long, before long, sep long").join(s.select("file", "block", "at", "rows", "open"), ["file", "block"])
+    start = F.when(F.col("i") == 0, F.col("open")).otherwise(F.col("at") + F.col("before") + 1)
+    closed = inside.select("file", (F.col("rows") + F.col("i")).alias("row"), start.alias("start"), (F.col("at") + F.col("sep") - start).alias("n_tokens"), F.lit(True).alias("closed"))
     opened = F.when(F.col("seps") > 0, F.col("at") + F.col("last") + 1).otherwise(F.col("open"))
     tail = s.filter("final").select("file", (F.col("rows") + F.col("seps")).alias("row"), opened.alias("start"), (F.col("at") + F.col("n") - opened).alias("n_tokens"), F.lit(False).alias("closed")).filter("n_tokens > 0")
     return closed.unionByName(tail)
