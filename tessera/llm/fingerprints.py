@@ -11,16 +11,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.sharding import range_bucket
-from tessera.llm.textops import _split_schema, mix, text_slices
+from tessera.llm.textops import _split_schema, mix, text_slices, written
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (911_382_323, 972_663_749)
 SPAN = 16
 SLOTS = 64
+MOST_BROADCAST = 500_000
 EMPTY = "----"
 _SHIFT = np.uint64(31)
 
@@ -126,35 +127,39 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: str, rows_per_range: int = 20_000) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: str, rows_per_range: int = 10_000) -> DataFrame:
     """Apply ``fn(text, next text)`` to every row, where the next is the row below in descending order of the id.
 
     Rows are dealt to ranges of ids and sorted within; each range also gets the highest row of the range below (the lowest
     range gets the highest row of all), so the last row of a range finds its next one. The text is shuffled once.
-    Equal ids follow each other in the order of their texts; a null id counts as the lowest.
+    Equal ids follow each other in the order of their texts' CRCs and then of their texts; a null id counts as the lowest.
     """
     names = [x.split()[0] for x in _split_schema(schema)]
+    kind = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bucket, _ = range_bucket(base.select("doc_id"), "doc_id", rows_per_range)
+    base = base.withColumn("crc", F.crc32(F.col("text").cast("binary")))
+    bucket, _ = range_bucket(base.select("doc_id", "crc"), "doc_id", rows_per_range, "crc")
     dealt = base.withColumn("range", bucket)
-    tops = [(r["range"], r["top"]) for r in dealt.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()]  # one row for each range
-    if not tops:
-        return df.sparkSession.createDataFrame([], f"doc_id {df.schema[id_col].dataType.simpleString()}, {schema}")
-    above = [r for r, _ in tops[1:]] + [tops[0][0]]
-    kind = df.schema[id_col].dataType.simpleString()
-    heads = df.sparkSession.createDataFrame([(t, a, n) for (_, t), a, n in zip(tops, above, range(len(tops)), strict=True)], f"top {kind}, range int, place int")
-    # one row for each range: the head's first copy in the order of texts
-    first = base.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("place", "range").agg(F.min("text").alias("text"))
-    guests = first.select(F.lit(None).cast(kind).alias("doc_id"), "text", "range", F.lit(True).alias("guest"))
+    # the highest row of each range by id and CRC, as three numbers; the last ranges' top goes to the first
+    place = F.struct("doc_id", "crc")
+    tops = dealt.groupBy("range").agg(F.max(place).alias("top")).select(F.col("range").alias("of"), "top.*")
+    ordered = Window.orderBy("of")  # one row for each range
+    tops = tops.withColumn("above", F.coalesce(F.lead("of").over(ordered), F.min("of").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    tops = written(tops)
+    n = tops.count()
+    # rows / rows_per_range rows; only rows of a range's highest id and CRC meet them, most often one
+    heads = F.broadcast(tops) if n <= MOST_BROADCAST else tops
+    first = dealt.join(heads.withColumnsRenamed({"doc_id": "top_id", "crc": "top_crc"}), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("crc") == F.col("top_crc"))).groupBy("of", "above").agg(F.min("text").alias("text"))
+    guests = first.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(0).cast("long").alias("crc"), F.col("above").alias("range"), F.lit(True).alias("guest"))
     both = dealt.withColumn("guest", F.lit(False)).unionByName(guests)
-    placed = both.repartition(F.col("range")).sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = both.repartitionByRange("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("crc").desc(), "text")
 
     def run(batches):
         held: tuple | None = None
         for batch in batches:
             for part in text_slices(batch, 1):
                 ids, out = [], []
-                for i, text, guest in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for i, text, guest in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist(), strict=True):
                     if held is not None:
                         ids.append(held[0])
                         out.append(fn(held[1], text))

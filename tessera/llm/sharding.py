@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,33 +13,45 @@ LEAST_RANGES = 128
 CUTS = 1024
 
 
-def range_bucket(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[Column, int]:
+def range_bucket(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE, tie: str | None = None) -> tuple[Column, int]:
     """An expression that numbers each row's range of an integer ``key`` in order, and how many numbers there are.
 
     Up to CUTS approximate quantiles cut the keys into parts of nearly equal numbers of rows; for more ranges than that,
     each part is divided evenly by key. So a range has about ``rows_per_range`` rows, or fewer, while keys are spread
-    evenly within a part. Null keys are in range 0.
+    evenly within a part. Null keys come first. A key that is several of the quantiles, and null keys, are divided by
+    ``tie``, a column of even numbers from 0 to 2**32 - 1, if it is given: rows are then ranged by key and tie.
     """
-    wanted = max(LEAST_RANGES, -(-df.count() // rows_per_range))
+    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    wanted = max(LEAST_RANGES, -(-rows // rows_per_range))
     n, within = min(CUTS, wanted), -(-wanted // CUTS)
+    split = lambda r: max(1, -(-r // max(1, min(rows_per_range, rows // n)))) if tie else 1
+    by_tie = lambda first, parts: F.lit(first) if parts == 1 else F.lit(first) + F.floor(F.col(tie).cast("long") * parts / (1 << 32)).cast("int")
     points = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(key, points, 20 * CUTS).alias("q"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    of_nulls = split(nulls)
     if row["low"] is None:
-        return F.lit(0), 1
-    edges = sorted({int(row["low"]) - 1, *(int(x) for x in row["q"]), int(row["high"])})  # part i: above edge i, to edge i + 1
+        return by_tie(0, of_nulls), of_nulls
+    seen = Counter(int(x) for x in row["q"])
+    hot = {k: split(-(-rows * c // n)) for k, c in seen.items() if c > 1}
+    edges = sorted({int(row["low"]) - 1, *seen, *(k - 1 for k in hot), int(row["high"])})  # part i: above edge i, to edge i + 1
+    edges = [e for e in edges if int(row["low"]) - 1 <= e <= int(row["high"])]
+    parts = [hot.get(e, 1) if e - d == 1 else within for d, e in zip(edges[:-1], edges[1:], strict=True)]
+    firsts = [of_nulls * (nulls > 0) + sum(parts[:i]) for i in range(len(parts))]
 
     def tree(lo: int, hi: int) -> Column:
         # a row meets about log2(CUTS) comparisons
         if lo == hi:
-            if within == 1:
-                return F.lit(lo)
+            if parts[lo] == 1:
+                return F.lit(firsts[lo])
             wide = edges[lo + 1] - edges[lo]
-            return F.lit(lo * within) + F.floor((F.col(key) - F.lit(edges[lo] + 1)) * F.lit(within) / F.lit(wide)).cast("int")
+            if wide == 1:
+                return by_tie(firsts[lo], parts[lo])
+            return F.lit(firsts[lo]) + F.floor((F.col(key) - F.lit(edges[lo] + 1)) * F.lit(parts[lo]) / F.lit(wide)).cast("int")
         mid = (lo + hi) // 2
         return F.when(F.col(key) <= F.lit(edges[mid + 1]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    last = len(edges) - 2
-    return F.when(F.col(key).isNull(), 0).otherwise(tree(0, last)), (last + 1) * within
+    ranges = tree(0, len(parts) - 1)
+    return (F.when(F.col(key).isNull(), by_tie(0, of_nulls)).otherwise(ranges) if nulls else ranges), firsts[-1] + parts[-1]
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -53,8 +67,9 @@ def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_i
     own = [c for c in df.columns if c not in {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}]
     base = df.select(*own)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bucket, _ = range_bucket(base.select(id_col), id_col, rows_per_range)
-    base = base.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary")), "__range": bucket})
+    base = base.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))})
+    bucket, _ = range_bucket(base.select(id_col, "text_crc32"), id_col, rows_per_range, "text_crc32")
+    base = base.withColumn("__range", bucket)
 
     totals = base.groupBy("__range").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
     # one row for each range: a global running sum over these is small
