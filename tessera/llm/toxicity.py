@@ -1,13 +1,15 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick over folded text.
 
 Homoglyphs, accents and digit substitutions fold to one letter each, code point by code point, so matches keep their
-places. Weights are learned from labelled rows; a text's score comes from its weighted hits, taken by length, outside
-exception phrases.
+places. The lexicon holds words and beginnings of words; weights are learned from labelled rows, and the score's curve on
+rows that its lexicon has not seen. A text's score comes from its weighted hits, taken by length, outside exception phrases.
 """
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -19,10 +21,13 @@ from pyspark.sql import functions as F
 from tessera.llm.textops import map_text, text_slices
 
 MAX_LABELLED = 20_000
-MAX_LEXICON = 2_000
 MIN_DOCS = 3
-#: A word counts if it is in more toxic rows than chance would have, by so many standard deviations.
-MIN_SIGMA = 6
+#: An entry counts if it is in more toxic rows than chance would have, by so many standard deviations.
+MIN_SIGMA = 6.0
+MIN_WEIGHT = 1.5
+#: Lengths of the beginnings of words that may be entries; such an entry ends in ``*``.
+BEGINNINGS = range(4, 11)
+FOLDS = 3
 THRESHOLD = 0.7
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "circus clown", "clown fish", "class clown", "village idiot", "sore loser", "pond scum", "soap scum", "sympathetic and pathetic")
@@ -69,10 +74,18 @@ def words(text: str) -> list[str]:
     return out
 
 
+def entries(text: str) -> set[str]:
+    """The words of a text and the beginnings of longer ones, which end in ``*``."""
+    found = {*words(text)}
+    return found | {w[:k] + "*" for w in found for k in BEGINNINGS if k < len(w)}
+
+
 @dataclass
 class ToxicityModel:
+    """Weights by entry (see ``entries``) and the curve: a constant and a factor for each feature."""
+
     weights: dict[str, float]
-    coef: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    coef: np.ndarray = field(default_factory=lambda: np.zeros(5))
     _automaton: object = None
 
     def __getstate__(self):
@@ -80,27 +93,41 @@ class ToxicityModel:
 
     def automaton(self):
         if self._automaton is None:
-            a = ahocorasick.Automaton()
+            found: dict[str, dict] = {}
             for w, x in self.weights.items():
-                a.add_word(w, (len(w), x))
+                found.setdefault(w.removesuffix("*"), {})["begins" if w.endswith("*") else "is"] = x
             for p in EXCEPTIONS:
-                a.add_word(fold(p), (len(p), None))
+                found.setdefault(fold(p), {})["safe"] = True
+            a = ahocorasick.Automaton()
+            for w, x in found.items():
+                a.add_word(w, (len(w), x.get("is"), x.get("begins"), "safe" in x))
             a.make_automaton()
             self._automaton = a
         return self._automaton
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """log weight of hits per 100 words, log weight of hits, hits at all."""
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """log weight of hits per 100 words, log weight of hits, hits at all, log number of hits. A word counts once."""
         if not text or not self.weights:
-            return 0.0, 0.0, 0.0
-        hits, safe = [], []
-        for end, (n, x) in self.automaton().iter(fold(text)):
-            s, e = end - n + 1, end + 1
-            if (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum()) and any(map(str.isalpha, text[s:e])):
-                (safe if x is None else hits).append((s, e, x))
-        total = sum(x for s, e, x in hits if not any(a <= s and e <= b for a, b, _ in safe))
+            return 0.0, 0.0, 0.0, 0.0
+        hits: dict[int, tuple[float, int]] = {}
+        safe = []
+        for last, (n, whole, begins, harmless) in self.automaton().iter(fold(text)):
+            s, e = last - n + 1, last + 1
+            if s and text[s - 1].isalnum():
+                continue
+            ended = e == len(text) or not text[e].isalnum()
+            if harmless and ended:
+                safe.append((s, e))
+            x = whole if ended else begins
+            if x is not None and x > hits.get(s, (0.0, 0))[0] and any(map(str.isalpha, text[s:e])):
+                hits[s] = (x, e)
+        # a hit is safe in a phrase that begins at or before it and ends at or after it
+        safe.sort()
+        firsts, reach = [s for s, _ in safe], list(np.maximum.accumulate([e for _, e in safe])) if safe else []
+        counted = [x for s, (x, e) in hits.items() if not ((i := bisect.bisect_right(firsts, s)) and reach[i - 1] >= e)]
+        total = sum(counted)
         per = 100 * total / (1 + text.count(" ") + text.count("\n"))
-        return float(np.log1p(per)), float(np.log1p(total)), float(total > 0)
+        return float(np.log1p(per)), float(np.log1p(total)), float(total > 0), float(np.log1p(len(counted)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.coef[1:] + self.coef[0], -30, 30)))
@@ -119,48 +146,58 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, min_docs: int = MIN_DOCS, min_sigma: float = MIN_SIGMA, min_weight: float = MIN_WEIGHT) -> ToxicityModel | None:
     """Learn weights and the score's curve from about ``max_labelled`` labelled rows, chosen by a hash of their id.
 
-    That sample is the one bound on what is learned from; a word's weight is its smoothed log odds between toxic and other
-    rows of the sample, by rows that hold it. At most ``MAX_LEXICON`` words that stand out from chance are kept.
+    That sample is the one bound on what is learned from. An entry's weight is its smoothed log odds between toxic and
+    other rows of the sample, by rows that hold it; entries in at least ``min_docs`` toxic rows that stand out from chance
+    by ``min_sigma`` and weigh ``min_weight`` are kept. The curve is fitted to features that each of FOLDS parts of the
+    rows gets from weights learned on the other parts, so that no row is judged by words it put into the lexicon itself.
+    Of repeated labels that contradict each other the toxic one counts. None without rows of both labels.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     n = known.count()
     if not n:
         return None
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(np.ceil(min(1.0, max_labelled / n) * 1_000_000)))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")  # about max_labelled rows of two numbers
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int"))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "part")  # about max_labelled rows of three numbers
 
     def count(batches):
         for batch in batches:
-            for part in text_slices(batch, 0):
-                word, y = [], []
-                for t, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    got = {*words(t or "")}
-                    word += got
-                    y += [label] * len(got)
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(y, pa.int32())], names=["word", "y"])
-
-    total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
-    if not bad or not good:
+            for piece in text_slices(batch, 0):
+                held: dict[tuple[int, int], Counter] = {}
+                for t, y, part in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                    held.setdefault((y, part), Counter()).update(entries(t or ""))
+                for (y, part), found in held.items():
+                    size = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array([y] * size, pa.int32()), pa.array([part] * size, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "y", "part", "n"])
+
+    rows = {(r["y"], r["part"]): r["n"] for r in sample.groupBy("y", "part").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 x FOLDS rows
+    total = {(y, k): sum(v for (a, part), v in rows.items() if a == y and part != k) for y in (0, 1) for k in range(-1, FOLDS)}
+    if not total[1, -1] or not total[0, -1]:
         return None
-    counts = sample.mapInArrow(count, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all"))
-    odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (good + 1)))
-    expected = F.col("all") * (bad / (bad + good))
-    strong = counts.filter((F.col("bad") >= MIN_DOCS) & (F.col("bad") - expected > MIN_SIGMA * F.sqrt(expected))).withColumn("w", odds).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "word").limit(MAX_LEXICON)
-    model = ToxicityModel({r["word"]: float(r["w"]) for r in strong.collect()})
+    # part -1: all rows
+    held = {(y, k): F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("part") != k), F.col("n"))), F.lit(0)) for y, k in total}
+    counts = sample.mapInArrow(count, "entry string, y int, part int, n long").groupBy("entry").agg(*[c.alias(f"n{y}_{k + 1}") for (y, k), c in held.items()])
+    odds = []
+    for k in range(-1, FOLDS):
+        bad, good = F.col(f"n1_{k + 1}"), F.col(f"n0_{k + 1}")
+        weight = F.log(((bad + 0.5) / (total[1, k] + 1)) / ((good + 0.5) / (total[0, k] + 1)))
+        expected = (bad + good) * (total[1, k] / max(1, total[1, k] + total[0, k]))
+        odds.append(F.when((bad >= min_docs) & (bad - expected > min_sigma * F.sqrt(expected)) & (weight > min_weight), weight).alias(f"w{k + 1}"))
+    strong = counts.select("entry", *odds).filter(F.coalesce(*[f"w{k}" for k in range(FOLDS + 1)]).isNotNull()).collect()  # of the entries of the sample, those that stand out
+    whole, *others = (ToxicityModel({r["entry"]: float(r[f"w{k}"]) for r in strong if r[f"w{k}"] is not None}) for k in range(FOLDS + 1))
 
     def measure(batches):
         for batch in batches:
-            for part in text_slices(batch, 0):
-                x = [model.features(t) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(3)), part.column(1)], names=["a", "b", "c", "y"])
+            for piece in text_slices(batch, 0):
+                x = [others[k].features(t) for t, k in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(4)), piece.column(1)], names=["a", "b", "c", "d", "y"])
 
-    seen = sample.mapInArrow(measure, "a double, b double, c double, y int").toPandas()
-    model.coef = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy(float))
-    return model
+    seen = sample.mapInArrow(measure, "a double, b double, c double, d double, y int").toPandas()  # about max_labelled rows of five numbers
+    whole.coef = _logistic(seen[["a", "b", "c", "d"]].to_numpy(), seen["y"].to_numpy(float))
+    return whole
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,12 +205,13 @@ def score_toxicity(df: DataFrame, model: ToxicityModel | None, id_col: str = "do
 
     A null or empty text has no hits and gets the score of a text without hits; without a model all scores are 0. Equal
     texts get equal scores. Only the id and the text are read, so other columns cannot clash. Texts are matched whole.
+    Repeated rows give repeated results. An empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # MAX_LEXICON words at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # what stands out in the labelled sample: some hundred entries
 
     def judge(batch: pa.RecordBatch) -> dict:
         m, texts = shared.value, batch.column(1).to_pylist()
-        x = np.array([m.features(t) for t in texts]).reshape(-1, 3) if m else np.zeros((len(texts), 3))
+        x = np.array([m.features(t) for t in texts]).reshape(-1, 4) if m else np.zeros((len(texts), 4))
         score = m.score(x) if m else np.zeros(len(texts))
         return {"id": batch.column(0), "score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32)), "hits": pa.array(x[:, 0])}
 
