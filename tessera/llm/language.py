@@ -20,6 +20,7 @@ from tessera.llm.textops import map_text, mix, text_slices
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
 CALIBRATION_ROWS = 20_000
+MAX_LANGUAGES = 1_000
 AMBIGUOUS_BELOW = 0.1
 UNKNOWN = "und"
 
@@ -48,8 +49,9 @@ _letters: list[np.ndarray] = []
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x30000)] + [False], dtype=bool))
-    return _letters[0][np.minimum(codes, 0x30000)]
+        # planes 0 to 3; beyond them Unicode has no letters
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x40000)] + [False], dtype=bool))
+    return _letters[0][np.minimum(codes, 0x40000)]
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,16 +113,18 @@ def _labelled(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
-    """Fit on all labelled rows; None if there are none.
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Fit on all labelled rows; None if there are none. More than ``max_languages`` labels raise: they are no languages.
 
     The n-gram counts of each language cover every row; each task sends at most languages x BUCKETS counts. The gains and
     trusts of the bits come from a random sample of about ``calibration_rows`` labelled rows, the one bounded sample.
     """
     rows = _labelled(df, text_col, lang_col)
-    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
     if not per_lang:
         return None
+    if len(per_lang) > max_languages:
+        raise ValueError(f"{lang_col} has more than {max_languages} values")
     languages = sorted(per_lang)
 
     def count(batches):
@@ -207,6 +211,7 @@ def keep_identified(df: DataFrame, model: LanguageModel | None, text_col: str =
     """The rows, unchanged, whose text has a language: not ``und`` and not ambiguous.
 
     All columns pass through whatever their names. Without a model nothing is known and every row with a letter stays.
+    Rows are judged by their text alone: repeated rows stay or go together, and ids may be null. Empty tables stay empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
