@@ -295,16 +295,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item's own, else ``re-parameterised``. Figures are those of the document if it passes, else of its best occurrence.
 
     A null or empty text holds nothing; a null id is a document of its own name; rows with equal ids count as one
-    document. Repeated benchmark items are found under each id. Only ids and texts are read, so other columns cannot
-    clash. Either table may be empty: no rows.
+    document. Very long texts are read whole, and each of their places is tested. Repeated benchmark items are looked for
+    once and reported under each id. Only ids and texts are read, so other columns cannot clash. Either table may be
+    empty: no rows.
 
-    The benchmark's window hashes go to the tasks as a sorted array while there are at most ``max_broadcast_windows``, so
-    documents send only windows that match; beyond that all windows are shuffled and joined by Spark.
+    The benchmark's windows go to the tasks while there are at most ``max_broadcast_windows`` rows of them, so documents
+    send only windows that match; beyond that all windows are shuffled and joined by Spark.
     """
-    words = _benchmark_words(benchmark, item_text_col)
-    items = benchmark_windows(benchmark, words, item_col, item_text_col, width)
+    asked = benchmark.select(benchmark[item_col].alias("id"), benchmark[item_text_col].cast("string").alias("text"))
+    once = asked.groupBy("text").agg(F.min("id").alias("item_id"))
+    ids = asked.join(once.withColumnRenamed("text", "same"), F.col("text").eqNullSafe(F.col("same"))).select("id", F.col("item_id").alias("of")).distinct()
+    words = _benchmark_words(once, "text")
+    items = written(benchmark_windows(once, words, "item_id", "text", width))
     widths = tuple(sorted((r["width"], r["literal"]) for r in items.select("width", "literal").distinct().collect()))  # MIN_LITERAL to width
-    n = items.select("window").distinct().count()
+    n = items.count()
     wanted = None
     if n <= max_broadcast_windows:
         wanted = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
@@ -330,15 +334,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     consistent = (distinct("own") == n_values) & (distinct("put") == n_values)
     whole = (coverage >= min_coverage) & (consistent | holds_own)
     figure = lambda of_whole, name: F.when(whole, of_whole).otherwise(F.col("best")[name])
-    return grouped.filter(whole | F.col("best").isNotNull()).select(
+    found = grouped.filter(whole | F.col("best").isNotNull()).select(
         "doc_id", "item_id", F.round(figure(coverage, "coverage"), 4).alias("coverage"), figure(F.col("n_windows"), "n_windows").alias("n_windows"), figure(n_values.cast("long"), "n_slots").alias("n_slots"), F.when(figure(verbatim | holds_own, "verbatim"), "verbatim").otherwise("re-parameterised").alias("kind")
     )
+    return found.join(ids, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("item_id", F.col("id")).select(found.columns)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, without the documents that hold a benchmark item; rows without an id stay."""
-    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select("doc_id"))
-    return without_ids(docs, leaks, id_col)
+    """The rows of ``docs``, unchanged, without the documents that hold a benchmark item.
+
+    Rows with equal ids go together, repeated ones all; a row without an id goes by its own text. An empty table gives no
+    rows, an empty benchmark all of them. Columns of any name pass through.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    own = F.when(docs[id_col].isNull(), F.concat(F.lit("text:"), F.sha2(text, 256))).otherwise(F.concat(F.lit("id:"), docs[id_col].cast("string")))
+    leaks = written(find_leaks(docs.select(own.alias("doc_id"), text.alias("text")), benchmark).select("doc_id"))
+    return without_ids(docs.withColumn("__own", own), leaks, "__own").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
