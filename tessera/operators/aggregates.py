@@ -60,7 +60,7 @@ def merge_edges(df: DataFrame, a: str, b: str) -> DataFrame:
     """Parallel edges as one, never better than any: surfaces that differ are unknown, least width, all masks, bridge if all."""
     ends = df.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b)})
     return ends.groupBy("lo", "hi").agg(
-        F.when(F.count_distinct("surface") == 1, F.min("surface")).otherwise("unknown").alias("surface"),
+        F.when(F.min("surface") == F.max("surface"), F.min("surface")).otherwise("unknown").alias("surface"),
         F.min("width").alias("width"), F.bit_or("mask").alias("mask"), F.bool_and("bridge").alias("bridge"), F.count(F.lit(1)).alias("n"),
     )
 

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def unambiguous(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, value) of the keys with one distinct value; keys with several have no row."""
-    return df.groupBy(*key).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(value)).filter("__n = 1").drop("__n")
+    return df.groupBy(*key).agg(F.min(value).alias(value), F.max(value).alias("__most")).filter(F.col(value) == F.col("__most")).drop("__most")
+
+
+def lookup_unless_ambiguous(df: DataFrame, lookup: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Each row with the lookup's value of its key; null where the lookup has none, or several different ones."""
+    return df.join(unambiguous(lookup, key, value), key, "left")
 
 
 def with_lookup(df: DataFrame, lookup: DataFrame, key: list[str], value: str, default: Column) -> DataFrame:
@@ -54,3 +59,14 @@ def highest_owner(df: DataFrame, cell: list[str], rank: str) -> DataFrame:
     """Rows of the best-ranked source of their cell, others gone."""
     best = df.groupBy(*cell).agg(F.min(rank).alias("__best"))
     return df.join(best, cell).filter(F.col(rank) <= F.col("__best")).drop("__best")
+
+
+def translated(df: DataFrame, names: DataFrame, key: list[str], text: str, active: Column, original: Column) -> DataFrame:
+    """Rows with ``text``: the one translation that active sources have of their key, else the original."""
+    return lookup_unless_ambiguous(df, names.filter(active).select(*key, text), key, text).withColumn(text, F.coalesce(text, original))
+
+
+def converted(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that can be converted, and one row that counts all and the skipped; a null check is a failed one."""
+    good = F.coalesce(ok, F.lit(False))
+    return df.filter(good), df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~good).alias("skipped"))

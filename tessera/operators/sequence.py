@@ -80,6 +80,18 @@ def fill_nearest(df: DataFrame, keys: list[str], order: str, at: str, value: Col
     return d.withColumn(name, near).drop("__a", "__b")
 
 
+def fill_nearest_alike(df: DataFrame, keys: list[str], order: str, at: str, value: Column, kind: str, name: str) -> DataFrame:
+    """As fill_nearest, but of two equally near ones the later if it alone is of the row's own kind."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    seen = F.when(value.isNotNull(), F.struct(F.col(at).alias("at"), value.alias("v"), F.col(kind).alias("kind")))
+    d = df.withColumns({"__b": F.last(seen, ignorenulls=True).over(back), "__a": F.first(seen, ignorenulls=True).over(ahead)})
+    da, db = F.col(at) - F.col("__b.at"), F.col("__a.at") - F.col(at)
+    later = (db < da) | ((db == da) & (F.col("__a.kind") == F.col(kind)) & (F.col("__b.kind") != F.col(kind)))
+    near = F.when(F.col("__b").isNull(), F.col("__a.v")).when(F.col("__a").isNull(), F.col("__b.v")).when(later, F.col("__a.v")).otherwise(F.col("__b.v"))
+    return d.withColumn(name, near).drop("__a", "__b")
+
+
 def priority_fill(df: DataFrame, bucket: str, order: list[str], cap: int, keys: list[str] | None = None) -> DataFrame:
     """Rows by bucket and then by arrival up to ``cap`` for each key; without keys Spark keeps a top-k."""
     if not keys:
@@ -233,17 +245,27 @@ def simplify_lines(df: DataFrame, keys: list[str], order: str, epsilon: float) -
     return fold_sequences(df.select(*keys, order, "x", "y"), keys, [order], fold)
 
 
-def greedy_labels(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Boxes (x, y, w, h) taken in order unless they overlap one taken before; keys bound the boxes that can meet."""
+def greedy_labels(df: DataFrame, keys: list[str], order: list[str], size: int = 64, max_rounds: int = 200) -> DataFrame:
+    """Boxes (x, y, w, h) taken in order unless they overlap one taken before; only boxes of equal keys can meet.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        taken, out = [], []
-        for i, b in enumerate(zip(pdf["x"], pdf["y"], pdf["w"], pdf["h"], strict=True)):
-            x, y, w, h = b
-            if not any(x < tx + tw and tx < x + w and y < ty + th and ty < y + h for tx, ty, tw, th in taken):
-                taken.append(b)
-                out.append(i)
-        return pdf.iloc[out]
+    Overlaps come from one grid join. In each round the boxes without an earlier neighbour left are taken and their later
+    neighbours drop out, which frees further ones, so the rounds follow the longest chain of overlaps, not the number of
+    boxes. Raises RuntimeError if boxes are still open after ``max_rounds``.
+    """
+    from tessera.operators.graph import _ensure_checkpoint_dir
+    from tessera.operators.spatial import box_join
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    _ensure_checkpoint_dir(df)
+    boxes = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    place = boxes.select("__id", F.struct(*order, "__id").alias("o"), F.struct(F.lit(0), *keys).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    over = (F.col("l_x1") < F.col("r_x2")) & (F.col("r_x1") < F.col("l_x2")) & (F.col("l_y1") < F.col("r_y2")) & (F.col("r_y1") < F.col("l_y2"))
+    pairs = box_join(place, place, size).filter(over & F.col("l_k").eqNullSafe(F.col("r_k")) & (F.col("l_o") < F.col("r_o"))).select(F.col("l___id").alias("a"), F.col("r___id").alias("b")).checkpoint()
+    lost = pairs.select("b").limit(0)
+    for _ in range(max_rounds):
+        if pairs.isEmpty():
+            return boxes.join(lost.select(F.col("b").alias("__id")), "__id", "left_anti").select(*df.columns)
+        taken = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        out = pairs.join(taken, "a", "left_semi").select("b").distinct().checkpoint()
+        pairs = pairs.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b").checkpoint()
+        lost = lost.union(out)
+    raise RuntimeError(f"labels are still open after {max_rounds} rounds")

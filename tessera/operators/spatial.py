@@ -67,14 +67,25 @@ def nearest_segments(pts: DataFrame, segs: DataFrame, radius: int, k: int, size:
     return near.withColumn("rank", r).filter(F.col("rank") <= k).select(F.col("l_id").alias("id"), F.col("r_street").alias("street"), F.col("r_seg").alias("seg"), "d2", "rank")
 
 
-def nearest_in_rings(pts: DataFrame, segs: DataFrame, k: int, rings: tuple[int, ...] = (16, 48, 96, 160)) -> DataFrame:
-    """As nearest_segments within the last ring; ring is the first radius that holds k of them (or the last)."""
-    found = nearest_segments(pts, segs, rings[-1], k)
-    kth = F.max(F.when(F.col("rank") == k, F.col("d2"))).over(Window.partitionBy("id"))
-    ring = F.lit(rings[-1])
-    for r in reversed(rings[:-1]):
-        ring = F.when(kth <= r * r, r).otherwise(ring)
-    return found.withColumn("ring", ring)
+def nearest_in_rings(pts: DataFrame, segs: DataFrame, k: int, rings: tuple[int, ...] = (16, 48, 96, 160, 640, 2560, 10240, 40960)) -> DataFrame:
+    """The k segments nearest to each point, however far, as nearest_segments; ring is the first radius that holds k.
+
+    Each ring looks only at points that the one before left without k, so most are done within a few cells. A point that
+    the last ring leaves without k has what there is, with that ring; no point is farther than it from a segment.
+    """
+    from tessera.operators.graph import _ensure_checkpoint_dir
+
+    _ensure_checkpoint_dir(pts)
+    left, out = pts.select("id", "x", "y"), None
+    for i, r in enumerate(rings):
+        found = nearest_segments(left, segs, r, k, size=max(64, r)).withColumn("ring", F.lit(r)).checkpoint()
+        full = found.filter(F.col("rank") == k).select("id")
+        done = found if i + 1 == len(rings) else found.join(full, "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = left.join(full, "id", "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return out
 
 
 def rect_distance2(px: Column, py: Column, x: Column, y: Column, w: Column, h: Column) -> Column:

@@ -10,16 +10,41 @@ from tessera.operators.sequence import fold_sequences
 
 
 def latest_revision(df: DataFrame, key: list[str], revision: list[str]) -> DataFrame:
-    """The row of the highest revision of each key; of equal ones the last by the further columns of ``revision``."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(r) for r in revision])
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """The row of the highest revision of each key; of equal ones the last by the further columns of ``revision``.
+
+    Rows are combined before the shuffle, so a key with very many revisions is no hot spot.
+    """
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*revision)).alias("__row"))
+    return best.select(*[F.col(c) if c in key else F.col(f"__row.{c}") for c in df.columns])
+
+
+def accepted_at(t: np.ndarray, limit: float, last: float | None = None) -> np.ndarray:
+    """Places of the sorted times that are at least ``limit`` after the one accepted before; refused ones move nothing."""
+    out, i = [], 0
+    while i < len(t):
+        if last is not None:
+            i = max(i, int(np.searchsorted(t, last + limit - 1e-6)))
+            while i < len(t) and t[i] - last < limit:
+                i += 1
+        if i < len(t):
+            out.append(i)
+            last = t[i]
+            i += 1
+    return np.array(out, np.int64)
 
 
 def rate_limited(df: DataFrame, key: list[str], ts: Column, limit_s: float = 1.0, order: str = "seq") -> DataFrame:
-    """Rows at least ``limit_s`` after the row before them of the same key, and first rows."""
+    """First rows of each key, and rows at least ``limit_s`` after the row accepted before them: an ordered fold.
+
+    A row after a pause of ``limit_s`` is accepted whatever came before, so the fold starts anew there and a key with very
+    many rows is dealt over as many tasks as it has pauses.
+    """
     w = Window.partitionBy(*key).orderBy("__t", order)
-    d = df.withColumn("__t", ts).withColumn("__before", F.lag("__t").over(w))
-    return d.filter(F.col("__before").isNull() | (F.col("__t") - F.col("__before") >= limit_s)).drop("__t", "__before")
+    d = df.withColumn("__t", ts).withColumn("__new", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= limit_s, F.lit(True)).cast("long"))
+    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    kept = fold_sequences(d, [*key, "__run"], ["__t", order], lambda c: (accepted_at(c["__t"], limit_s), {}))
+    return kept.drop("__t", "__run")
 
 
 def sessions(df: DataFrame, key: list[str], ts: Column, gap_s: float = 300, order: str = "seq") -> DataFrame:
@@ -93,3 +118,33 @@ def optimistic_updates(df: DataFrame, key: list[str], order: str, expected: str)
         return np.arange(len(out)), {"accepted": np.array(out, bool)}
 
     return fold_sequences(df, key, [order], fold, "accepted boolean")
+
+
+def snapshot_parts(df: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
+    """Each row with its part, from 1, and the number of parts of its key's snapshot."""
+    w = Window.partitionBy(*key)
+    n = F.count(F.lit(1)).over(w)
+    r = F.row_number().over(w.orderBy(*order)) - 1
+    return df.withColumns({"part": (F.floor(r / size) + 1).cast("int"), "parts": F.floor((n + size - 1) / size).cast("int")})
+
+
+def whole_snapshots(df: DataFrame, key: list[str], seq: str, part: str, parts: str) -> DataFrame:
+    """The rows of each key's newest snapshot of which every part has come; older and partial ones are left out."""
+    whole = df.groupBy(*key, seq).agg(F.count_distinct(part).alias("__n"), F.max(parts).alias("__all")).filter("__n = __all")
+    newest = whole.groupBy(*key).agg(F.max(seq).alias(seq))
+    return df.join(newest, [*key, seq], "left_semi")
+
+
+def running_states(df: DataFrame, key: list[str], order: str, done: Column, percent: int) -> DataFrame:
+    """Each row's state by what has come so far: cleared at ``percent`` done, refreshed once it falls below, else visited."""
+    run = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("__ok", F.sum(F.when(done, 1).otherwise(0)).over(run) * 100 >= percent * F.count(F.lit(1)).over(run))
+    was = F.max("__ok").over(run)
+    return d.withColumn("state", F.when(F.col("__ok"), "cleared").when(was, "refreshed").otherwise("visited")).drop("__ok")
+
+
+def keep_active(df: DataFrame, key: list[str], at: str, dirty: Column, idle: int) -> DataFrame:
+    """(key, n, last_seq) of the keys that stay: seen within ``idle`` of the newest row, or with something unsaved."""
+    now = df.agg(F.max(at).alias("__now"))
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"), F.max(at).alias("__last"), F.count_if(dirty).alias("__dirty"))
+    return per.crossJoin(F.broadcast(now)).filter(~((F.col("__now") - F.col("__last") > idle) & (F.col("__dirty") == 0))).select(*key, "n", "last_seq")  # one row beside each

@@ -127,12 +127,23 @@ def clipped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("street", "seg", *[F.round(k, 6).alias(k) for k in ("cx1", "cy1", "cx2", "cy2")])
 
 
-@query()
+_SPLITS = """SELECT pieces, count(*) AS n FROM (SELECT street, seg, 1 + count(DISTINCT t) AS pieces FROM (
+SELECT street, seg, round((i * 300 - x1) / CAST(x2 - x1 AS DOUBLE), 9) AS t FROM v_segment, LATERAL (SELECT unnest(range(least(x1, x2) // 300 + 1, greatest(x1, x2) // 300 + 1)) AS i) q WHERE i * 300 > least(x1, x2) AND i * 300 < greatest(x1, x2)
+UNION ALL SELECT street, seg, round((i * 300 - y1) / CAST(y2 - y1 AS DOUBLE), 9) FROM v_segment, LATERAL (SELECT unnest(range(least(y1, y2) // 300 + 1, greatest(y1, y2) // 300 + 1)) AS i) q WHERE i * 300 > least(y1, y2) AND i * 300 < greatest(y1, y2)
+UNION ALL SELECT street, seg, NULL FROM v_segment) c GROUP BY street, seg) d GROUP BY pieces"""
+
+
+@query(with_views(_SPLITS, "v_segment"))
 def grid_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_at_grid(segments(spark, sf_dir)).groupBy((F.size("ts") - 1).alias("pieces")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_ERASED = """, q AS (SELECT *, CAST((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) AS DOUBLE) AS a, 2.0*((x1-8000)*(x2-x1)+(y1-8000)*(y2-y1)) AS b, CAST((x1-8000)*(x1-8000)+(y1-8000)*(y1-8000)-810000 AS DOUBLE) AS c FROM v_segment),
+t AS (SELECT *, b*b-4*a*c AS disc, least(greatest((-b-sqrt(greatest(b*b-4*a*c, 0.0)))/(2*a), 0.0), 1.0) AS i, least(greatest((-b+sqrt(greatest(b*b-4*a*c, 0.0)))/(2*a), 0.0), 1.0) AS o FROM q)
+SELECT street, seg, piece, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM (SELECT street, seg, 0 AS piece, 0.0 AS t0, 1.0 AS t1 FROM t WHERE disc <= 0 OR i >= o UNION ALL SELECT street, seg, 0, 0.0, i FROM t WHERE NOT (disc <= 0 OR i >= o) UNION ALL SELECT street, seg, 1, o, 1.0 FROM t WHERE NOT (disc <= 0 OR i >= o)) u WHERE t1 > t0"""
+
+
+@query(with_views(_ERASED, "v_segment"))
 def erased_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = outside_circle(segments(spark, sf_dir), 8000, 8000, 900)
     return out.select("street", "seg", "piece", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))

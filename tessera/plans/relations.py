@@ -36,15 +36,24 @@ def rect_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.box_join(r, r).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
-@query()
+_RINGS = "CASE " + " ".join(f"WHEN kth <= {r * r} THEN {r}" for r in (16, 48, 96, 160, 640, 2560, 10240)) + " ELSE 40960 END"
+_NEAREST = f""", s AS (SELECT p.id, p.x AS px, p.y AS py, v.*, least(greatest(((p.x-x1)*CAST(x2-x1 AS DOUBLE)+(p.y-y1)*CAST(y2-y1 AS DOUBLE))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 0.0), 1.0) AS t FROM v_probe p, v_segment v),
+d AS (SELECT id, street, seg, round((x1+t*(x2-x1)-px)*(x1+t*(x2-x1)-px)+(y1+t*(y2-y1)-py)*(y1+t*(y2-y1)-py), 6) AS d2 FROM s),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, street, seg) AS rank FROM d) q WHERE rank <= 2),
+k AS (SELECT id, max(d2) AS kth FROM r GROUP BY id)
+SELECT r.id, street, seg, d2, CAST(rank AS INTEGER) AS rank, {_RINGS} AS ring FROM r JOIN k ON k.id = r.id"""
+
+
+@query(with_views(_NEAREST, "v_segment", "v_probe"))
 def nearest_k_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nearest_in_rings(probes(spark, sf_dir), segments(spark, sf_dir), 2)
 
 
 @query("SELECT e.event_id, max(r.o_orderkey) AS run FROM events e JOIN orders r ON r.o_custkey = e.user_id AND r.o_orderdate <= e.ts + INTERVAL 0 DAY GROUP BY e.event_id, e.ts HAVING max(r.o_orderdate) <= e.ts")
 def asof_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return e.join(o, (F.col("o_custkey") == F.col("user_id")) & (F.col("o_orderdate") <= F.col("ts"))).groupBy("event_id").agg(F.max("o_orderkey").alias("run"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("usr"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("usr"), "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return running_max(e, o, ["usr"], "at", "o_orderkey").filter("o_orderkey IS NOT NULL").select("event_id", F.col("o_orderkey").alias("run"))
 
 
 @query("SELECT seq, usr, s.start, s.cls FROM (SELECT event_id AS seq, user_id AS usr, event_id % 1000 AS pos FROM events) e ASOF JOIN (SELECT p_partkey % 7 AS cell, p_size * 20 AS start, min(p_brand) AS cls FROM part GROUP BY 1, 2) s ON e.usr % 7 = s.cell AND e.pos >= s.start")
@@ -54,6 +63,14 @@ def asof_run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(e, runs, ["cell"], "pos", "start", ["cls"]).filter("start IS NOT NULL").select("seq", "usr", F.col("start").cast("int").alias("start"), "cls")
 
 
+def running_max(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Each left row with the largest value of the right rows of its keys at or before its time: one union and one window."""
+    one = left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = one.unionByName(right.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    return both.withColumn(value, F.max(value).over(w)).filter("__side = 1").drop("__side")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, values: list[str]) -> DataFrame:
     """Each left row with the right row of its keys that starts last at or before ``at``: one union and one window."""
     v = F.struct(F.col(start).alias("__s"), *values)
@@ -257,13 +274,17 @@ def building_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- graphs
 
 
-@query()
+_OVERLAPS = "SELECT a.id AS a, b.id AS b FROM v_rect a JOIN v_rect b ON a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
+_REACH = "r(node, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node)"
+
+
+@query(with_views(f", p AS ({_OVERLAPS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {_REACH} SELECT node, min(seen) AS component FROM r GROUP BY node", "v_rect").replace("WITH ", "WITH RECURSIVE ", 1))
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rect_overlap_pairs(spark, sf_dir)
     return connected_components(pairs, "a", "b")
 
 
-@query()
+@query(with_views(f", p AS (SELECT building AS a, min(building) OVER (PARTITION BY unit, room, w, h) AS b FROM v_room), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b), {_REACH} SELECT q.building, coalesce(min(seen), q.building) AS component FROM (SELECT DISTINCT building FROM v_room) q LEFT JOIN r ON r.node = q.building GROUP BY q.building", "v_room").replace("WITH ", "WITH RECURSIVE ", 1))
 def building_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = rooms(spark, sf_dir).select("building", "unit", "room", "w", "h")
     return A.group_by_shared(shared, "building", ["unit", "room", "w", "h"])
@@ -286,8 +307,7 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def landmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = R.build_edges(segments(spark, sf_dir))
-    marks = edges.agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select(F.explode(F.array("lo", "hi")).alias("node"))
-    return R.landmark_bounds(edges, marks, 1e6)
+    return R.landmark_bounds(edges, R.extreme_nodes(edges), 1e6)
 
 
 # ---------------------------------------------------------------- replicated state
@@ -298,7 +318,13 @@ def latest_revision_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.latest_revision(observations(spark, sf_dir), ["usr"], ["seq"]).select("usr", "seq", "value")
 
 
-@query("SELECT seq, usr FROM (SELECT event_id AS seq, user_id AS usr, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) q WHERE b IS NULL OR t - b >= 3600000000")
+_ACCEPTED = """WITH RECURSIVE e AS (SELECT event_id AS seq, user_id AS usr, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+acc(seq, usr, t, rn) AS (SELECT seq, usr, t, rn FROM e WHERE rn = 1
+ UNION ALL SELECT e.seq, e.usr, e.t, e.rn FROM (SELECT acc.usr, min(e.rn) AS rn FROM acc JOIN e ON e.usr = acc.usr AND e.t - acc.t >= 3600000000 GROUP BY acc.usr) n JOIN e ON e.usr = n.usr AND e.rn = n.rn)
+SELECT seq, usr FROM acc"""
+
+
+@query(_ACCEPTED)
 def rate_limit_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.rate_limited(observations(spark, sf_dir), ["usr"], seconds(), 3600).select("seq", "usr")
 
@@ -355,7 +381,13 @@ def threshold_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("usr", "seq", F.when(s * 100 >= 60 * F.count(F.lit(1)).over(w), "cleared").otherwise("open").alias("state"))
 
 
-@query()
+_EDITS = """WITH RECURSIVE e AS (SELECT user_id AS usr, event_id AS seq, event_id % 4 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f(usr, seq, expected, i, rev, accepted) AS (SELECT usr, seq, expected, i, CASE WHEN expected = 0 THEN 1 ELSE 0 END, expected = 0 FROM e WHERE i = 1
+ UNION ALL SELECT e.usr, e.seq, e.expected, e.i, f.rev + CASE WHEN e.expected = f.rev THEN 1 ELSE 0 END, e.expected = f.rev FROM f JOIN e ON e.usr = f.usr AND e.i = f.i + 1)
+SELECT usr, seq, expected, accepted FROM f"""
+
+
+@query(_EDITS)
 def itinerary_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir).select("usr", "seq", (F.col("seq") % 4).alias("expected"))
     return T.optimistic_updates(o, ["usr"], "seq", "expected")

@@ -115,12 +115,18 @@ def suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.regexp_extract("s_name", r"([0-9]+)$", 1).cast("long").alias("suffix")).orderBy(F.desc("suffix")).limit(50)
 
 
-@query()
+_CAPPED = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f(o_custkey, o_orderkey, o_totalprice, i, part, held) AS (SELECT o_custkey, o_orderkey, o_totalprice, i, 0, o_totalprice FROM o WHERE i = 1
+ UNION ALL SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, o.i, CASE WHEN f.held + o.o_totalprice > 400000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.held + o.o_totalprice > 400000 THEN o.o_totalprice ELSE f.held + o.o_totalprice END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1)
+SELECT o_custkey, o_orderkey, o_totalprice, part FROM f"""
+
+
+@query(_CAPPED)
 def size_capped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.size_capped_batches(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"], "o_totalprice", 400000)
 
 
-@query()
+@query("SELECT usr, seq, high FROM (SELECT *, lag(high) OVER (PARTITION BY usr ORDER BY seq) AS before FROM (SELECT user_id AS usr, event_id AS seq, value > 40 AS high, lead(value > 40, 1) OVER z AS h1, lead(value > 40, 2) OVER z AS h2 FROM events WINDOW z AS (PARTITION BY user_id ORDER BY event_id)) t WHERE h1 = high AND h2 = high) q WHERE before IS NULL OR before <> high")
 def debounced_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir).withColumn("high", F.col("value") > 40)
     return Q.debounced_changes(o, ["usr"], "seq", "high")
@@ -131,10 +137,15 @@ def reversal_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.drop_reversals(vertices(spark, sf_dir), ["street"], "pos", max_leg=24.0)
 
 
-@query()
+_GREEDY = """, b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS i FROM v_rect),
+near AS MATERIALIZED (SELECT b.i, coalesce(list(a.i) FILTER (WHERE a.i IS NOT NULL), []) AS earlier FROM b LEFT JOIN b a ON a.i < b.i AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY b.i),
+taken(i, won) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.i, CASE WHEN list_has_any(near.earlier, taken.won) THEN taken.won ELSE list_append(taken.won, near.i) END FROM taken JOIN near ON near.i = taken.i + 1)
+SELECT id, x, y, w, h FROM b WHERE i IN (SELECT unnest(won) FROM (SELECT won FROM taken ORDER BY i DESC LIMIT 1) t)"""
+
+
+@query(with_views(_GREEDY, "v_rect").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_label_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rects(spark, sf_dir).withColumns({"cx": F.floor(F.col("x") / 128), "cy": F.floor(F.col("y") / 128)})
-    return Q.greedy_labels(r, ["cx", "cy"], ["id"]).select("id", "x", "y", "w", "h")
+    return Q.greedy_labels(rects(spark, sf_dir), [], ["id"]).select("id", "x", "y", "w", "h")
 
 
 @query()

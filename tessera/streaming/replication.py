@@ -9,41 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.state import latest_revision
+from tessera.operators.state import accepted_at, latest_revision
 
 
 def accept_newer(stream: DataFrame, key: str, revision: str) -> DataFrame:
-    """Of each key only rows whose revision is above all accepted before, with that state kept across batches."""
+    """Of each key only rows whose revision is above all accepted before, with that state kept across batches.
+
+    A micro-batch's rows of a key are taken in order of their revision, so what is accepted does not depend on how Arrow
+    cuts it; of rows with equal revisions the first that came.
+    """
     kind = stream.schema[revision].dataType.simpleString()
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else None
-        out = []
-        for pdf in frames:
-            for i, r in pdf.sort_values(revision, kind="stable").iterrows():
-                if seen is None or r[revision] > seen:
-                    seen = int(r[revision])
-                    out.append(i)
-            yield pdf.loc[out]
-            out = []
-        if seen is not None:
-            state.update((seen,))
+        pdf = pd.concat(list(frames)).sort_values(revision, kind="stable")  # a key's rows in one micro-batch
+        new = pdf[~pdf[revision].duplicated()]
+        if state.exists:
+            new = new[new[revision] > state.get[0]]
+        if len(new):
+            state.update((int(new[revision].iloc[-1]),))
+        yield new
 
     return stream.groupBy(key).applyInPandasWithState(step, stream.schema, f"seen {kind}", "append", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(stream: DataFrame, key: str, ts: str, limit_s: float = 1.0) -> DataFrame:
-    """Rows at least ``limit_s`` after the last row of their key that came before, in order of time within a batch."""
+    """Rows at least ``limit_s`` after the row of their key accepted before, in order of time within a batch."""
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         pdf = pd.concat(list(frames)).sort_values(ts, kind="stable")  # a key's rows in one micro-batch
-        out = []
-        for t in pdf[ts].astype("int64") // 1000:
-            out.append(last is None or t - last >= limit_s * 1e6)
-            last = int(t)
-        state.update((last,))
-        yield pdf[out]
+        micros = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        kept = accepted_at(micros, limit_s * 1e6, state.get[0] if state.exists else None)
+        if len(kept):
+            state.update((int(micros[kept[-1]]),))
+        yield pdf.iloc[kept]
 
     return stream.groupBy(key).applyInPandasWithState(step, stream.schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
