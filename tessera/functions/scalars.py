@@ -136,3 +136,54 @@ def by_name(name: Column, exact: dict[str, str], prefixes: list[tuple[str, str]]
     for k, v in prefixes:
         out = (F if out is None else out).when(F.startswith(name, F.lit(k)), v)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+#: Factors of travel cost by surface, and of bridges.
+SURFACE_FACTORS = {"gravel": 1.05, "dirt": 1.10}
+BRIDGE_FACTOR = 1.10
+ACCOUNT_MIN = "76561197960265728"  # fixed value: the least account id
+
+
+def travel_cost(length: Column, surface: Column, bridge: Column) -> Column:
+    """A length times the factors of its surface and of a bridge; unknown surfaces count as paved."""
+    factor = F.lit(1.0)
+    for name, f in SURFACE_FACTORS.items():
+        factor = F.when(surface == name, f).otherwise(factor)
+    return length * factor * F.when(bridge, BRIDGE_FACTOR).otherwise(1.0)
+
+
+def json_body(text: Column, most: int = 64) -> Column:
+    """A text as the inside of a JSON string; null if it is empty, longer than ``most`` or has a control character.
+
+    Tabs and ends of lines are escaped by their codes.
+    """
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c in "\t\n\r":
+        out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.when(F.char_length(text).between(1, most) & ~F.rlike(out, F.lit(r"[\x00-\x1f\x7f]")), out)
+
+
+def is_json_body(text: Column) -> Column:
+    """Whether a text can stand inside a JSON string: no bare quote or control character, only \\" \\\\ and \\uXXXX."""
+    return F.rlike(text, F.lit(r'^(?:[^"\\\x00-\x1f\x7f]|\\["\\]|\\u[0-9A-Fa-f]{4})*$'))
+
+
+def clean_name(text: Column) -> Column:
+    """A name without blanks at its ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def number_in(text: Column, low: int, high: int, digits: int) -> Column:
+    """A plain integer of at most ``digits`` digits between the bounds, else null."""
+    v = parse_integer(text, digits)
+    return F.when(v.between(low, high), v)
+
+
+def is_account_id(text: Column) -> Column:
+    """Whether a text is an account id: 17 digits and no less than the least one, so texts compare as numbers do."""
+    return F.rlike(text, F.lit("^[0-9]{17}$")) & (text >= ACCOUNT_MIN)
+
+
+def first_tag(tags: list[tuple[str, Column]], most: int = 4) -> Column:
+    """The first of at most ``most`` registered tags whose condition holds; later ones are not registered."""
+    return F.coalesce(*[F.when(c, F.lit(name)) for name, c in tags[:most]])

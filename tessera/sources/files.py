@@ -129,20 +129,45 @@ def write_store(df: DataFrame, path: str, tag: str, columns: list[str], order: l
 
 
 def read_reset_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, ms, cx, cy) of ``RUN id ms count`` and ``C cx,cy;..`` lines; raises unless counts fit and runs get older."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    w = Window.orderBy("pos")  # one file of runs
-    run = F.when(F.startswith("line", F.lit("RUN ")), F.split("line", " "))
-    d = lines.withColumn("run", F.last(run, ignorenulls=True).over(w)).filter(F.startswith("line", F.lit("C ")) | F.startswith("line", F.lit("RUN ")))
-    chunk = F.explode_outer(F.when(F.startswith("line", F.lit("C ")), F.split(F.substring("line", 3, 1 << 30), ";")))
-    c = d.select(F.get("run", F.lit(1)).alias("run_id"), F.get("run", F.lit(2)).cast("long").alias("ms"), F.get("run", F.lit(3)).cast("long").alias("want"), chunk.alias("c"))
-    by = Window.partitionBy("run_id")
-    c = c.withColumn("n", F.count("c").over(by))
-    heads = d.filter(F.startswith("line", F.lit("RUN "))).withColumn("ms", F.get("run", F.lit(2)).cast("long")).withColumn("before", F.lag("ms").over(w)).agg(F.coalesce(F.bool_and(F.coalesce(F.col("ms") < F.col("before"), F.lit(True))), F.lit(True)).alias("falls"))
-    good = F.col("falls") & (F.col("n") == F.col("want"))
-    out = c.filter("c IS NOT NULL").crossJoin(F.broadcast(heads))
-    xy = F.split("c", ",")
-    return out.select("run_id", F.when(good, F.col("ms")).otherwise(F.raise_error(F.lit("runs not newest first or chunks missing"))).alias("ms"), F.get(xy, F.lit(0)).cast("int").alias("cx"), F.get(xy, F.lit(1)).cast("int").alias("cy"))
+    """(run_id, ms, cx, cy) of ``RUN id ms count`` and ``C cx,cy;..`` lines; raises unless counts fit and runs get older.
+
+    Every file is a list of its own: its runs come newest first, whatever other files hold.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("file").orderBy("pos")
+    head, body = F.startswith("line", F.lit("RUN ")), F.startswith("line", F.lit("C "))
+    d = lines.filter(head | body).withColumn("run", F.last(F.when(head, F.split("line", " ")), ignorenulls=True).over(w)).withColumn("at", F.sum(head.cast("int")).over(w))
+    chunks = F.when(body, F.split(F.substring("line", 3, 1 << 30), ";"))
+    per = d.groupBy("file", "at").agg(F.first("run").alias("run"), F.flatten(F.collect_list(chunks)).alias("c"))  # the chunks of one run
+    ms = F.get("run", F.lit(2)).cast("long")
+    before = F.lag(ms).over(Window.partitionBy("file").orderBy("at"))
+    good = F.coalesce(ms < before, before.isNull()) & (F.size("c") == F.get("run", F.lit(3)).cast("int"))
+    checked = per.withColumn("ms", F.when(good, ms).otherwise(F.raise_error(F.lit("runs not newest first or chunks missing"))))
+    xy = F.split("chunk", ",")
+    return checked.select(F.get("run", F.lit(1)).alias("run_id"), "ms", F.explode("c").alias("chunk")).select("run_id", "ms", F.get(xy, F.lit(0)).cast("int").alias("cx"), F.get(xy, F.lit(1)).cast("int").alias("cy"))
+
+
+def write_registry(df: DataFrame, path: str, order: list[str], online: str) -> None:
+    """A registry in one file: a line with the counts, then one JSON entry on a line, in order. For exports of bounded size."""
+    body = df.select(F.lit(1).alias("k"), F.struct(*order).alias("o"), F.to_json(F.struct(*df.columns)).alias("value"))
+    counts = F.struct(F.count(F.lit(1)).alias("count"), F.count_if(F.col(online)).alias("online"))
+    head = df.agg(F.to_json(counts).alias("value")).select(F.lit(0).alias("k"), F.lit(None).cast(body.schema["o"].dataType).alias("o"), "value")
+    head.union(body).coalesce(1).sortWithinPartitions("k", "o").select("value").write.mode("overwrite").text(path)
+
+
+def read_registry(spark: SparkSession, path: str, schema: str, online: str) -> DataFrame:
+    """The entries of registries by an explicit schema; raises on a malformed entry, or if a file's counts do not fit."""
+    text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l"))
+    head = F.from_json(F.get("l", F.lit(0)), "count long, online long", {"mode": "FAILFAST"})
+    entries = F.transform(F.slice("l", F.lit(2), F.size("l") - 1), lambda e: F.from_json(e, schema, {"mode": "FAILFAST"}))
+    d = text.select(head.alias("h"), entries.alias("e"))
+    fits = (F.size("e") == F.col("h.count")) & (F.size(F.filter("e", lambda e: e[online])) == F.col("h.online"))
+    return d.select(F.explode(F.when(fits, F.col("e")).otherwise(F.raise_error(F.lit("registry counts do not fit")))).alias("e")).select("e.*")
+
+
+def write_sorted_lines(df: DataFrame, path: str, order: list[str], line: Column) -> None:
+    """A generated table in one file whose bytes depend on the rows alone: lines in order. For tables of bounded size."""
+    df.select(*order, line.alias("__line")).coalesce(1).sortWithinPartitions(*order).select("__line").write.mode("overwrite").text(path)
 
 
 def grouped_json(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
