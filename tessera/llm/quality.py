@@ -7,6 +7,7 @@ trained.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -24,22 +25,27 @@ BUCKETS = 1 << 12
 EM_ROUNDS = 200
 SLIPS, CATCHES = 0.1, 0.6
 THRESHOLD = 0.5
+USUAL_LENGTH = 5.5
 LABELLERS = ("symbols", "capitals", "variety", "columns", "runs", "lines", "word_length", "size", "regular")
 GOOD, BAD, ABSTAIN = "+", "-", "."
 
 
 _classes: list[np.ndarray] = []
+_MARKS = frozenset(".,;:'\"-?!()、。，！？：；「」『』（）")
+#: Letters of scripts that put no blanks between words: Thai to Myanmar, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_PAIR = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "]{1,2}")
 
 
 def _class_counts(text: str) -> np.ndarray:
-    """Code points of a text that are (letters, capitals, symbols)."""
+    """Code points of a text that are (letters, capitals, symbols, letters of UNSPACED)."""
     if not _classes:
-        points = [chr(c) for c in range(0x3000)]
-        kinds = [c.isalpha() + 2 * c.isupper() + 4 * (not (c.isalnum() or c.isspace() or c in ".,;:'\"-?!()")) for c in points]
-        _classes.append(np.array([*kinds, 1], np.uint8))  # beyond: letters
+        bare = [any(a <= c <= b for a, b in UNSPACED) for c in range(0x40000)]
+        kinds = [c.isalpha() + 2 * c.isupper() + 4 * (not (c.isalnum() or c.isspace() or c in _MARKS or u)) + 8 * u for c, u in zip(map(chr, range(0x40000)), bare, strict=True)]
+        _classes.append(np.array([*kinds, 4], np.uint8))  # beyond: no letters
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount(_classes[0][np.minimum(codes, 0x3000)], minlength=8)
-    return np.array([n[1] + n[3] + n[5] + n[7], n[2] + n[3] + n[6] + n[7], n[4:].sum()])
+    n = np.bincount(_classes[0][np.minimum(codes, 0x40000)], minlength=16)
+    return np.array([n[1::2].sum(), sum(n[i] for i in range(16) if i & 2), sum(n[i] for i in range(16) if i & 4), n[8:].sum()])
 
 
 class _Shapes(dict):
@@ -68,16 +74,17 @@ class Reading:
     @classmethod
     def of(cls, text: str | None) -> Reading:
         text = text or ""
-        words = text.split()
+        letters, capitals, symbols, bare = _class_counts(text)
+        # where words are not divided by blanks, two letters count as a word, and its length says nothing
+        words = _PAIR.sub(r" \g<0> ", "".join(" " if c in _MARKS else c for c in text)).split() if 2 * bare > letters else text.split()
         shapes = [*map(SHAPES.__getitem__, words)]
         n, chars, counted = max(1, len(words)), max(1, len(text)), Counter(shapes)
-        letters, capitals, symbols = _class_counts(text)
         lines = [x for x in map(str.strip, text.split("\n")) if x]
         return cls(
             {
                 "symbols": symbols / chars, "capitals": capitals / max(1, letters), "variety": len(set(words)) / n,
                 "columns": (text.count(" | ") + text.count("\t")) / n, "runs": sum(map(eq, words, words[1:])) / n,
-                "lines": 1 - len(set(lines)) / max(1, len(lines)), "word_length": chars / n, "size": float(len(words)),
+                "lines": 1 - len(set(lines)) / max(1, len(lines)), "word_length": USUAL_LENGTH if 2 * bare > letters else chars / n, "size": float(len(words)),
                 "letters": letters / chars, "regular": sum(c for k, c in counted.items() if k[0] == "r") / n,
             },
             counted, Counter(zip(shapes, [*shapes[1:], "$"], strict=False)),
