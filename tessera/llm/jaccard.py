@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import map_text, mix, shingles, text_slices, without_ids, written
+from tessera.llm.textops import discard, map_text, mix, shingles, text_slices, without_ids, written
 from tessera.operators.graph import connected_components
 
 MAX_LENGTHEN = 4
@@ -349,13 +349,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if n or comps is None:
             links = written(linked(pairs, docs, found, id_col, text_col, k, num, den))
             edges = links if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
-            comps = written(connected_components(edges, "a", "b"))
+            old, comps = comps, written(connected_components(edges, "a", "b"))
+            discard(old)
         if not spanning:
             break
         if n:
+            discard(joined)
             joined = written(held.join(comps, held["row"] == comps["node"], "left").select("row", "n", "bits", F.coalesce("component", "row").alias("comp")))
         # a round of which less than half links leaves the rest to the full one
         spanning, connected = (spanning - 1 if n and 2 * links.count() >= n else 0), True
+        discard(pairs, links)
 
     placed = reps.join(comps, reps["row"] == comps["node"], "left").select("cls", "class_id", F.coalesce("component", "row").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("class_id").alias("component_id"))

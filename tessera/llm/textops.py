@@ -53,13 +53,16 @@ def _split_schema(schema: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that the session names; a session without one (a test) gets one."""
+    """A new folder below the checkpoint folder that the session names; a session of one machine that names none gets one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        held = sc._jsc.sc().getCheckpointDir()
         if held.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/tessera-checkpoints")
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir("/tmp/tessera-checkpoints")
+            held = sc._jsc.sc().getCheckpointDir()
         root = held.get()
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
@@ -68,7 +71,18 @@ def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables once all that was made of them is written, too."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 2_000_000) -> DataFrame:
