@@ -13,7 +13,7 @@ from tessera.llm.language import op2_language_id
 from tessera.llm.mixing import op10_mixing
 from tessera.llm.quality import op4_quality
 from tessera.llm.secrets import op7_secret_scan
-from tessera.llm.sharding import op3_byte_shards
+from tessera.llm.sharding import SHARDS_SQL, op3_byte_shards
 from tessera.llm.tokens import op6_token_counts
 from tessera.llm.toxicity import op9_toxicity
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_byte_shards": SHARDS_SQL}

@@ -94,6 +94,15 @@ def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_i
     )
 
 
+#: The query's rows in DuckDB, with CRC-32 by its table of 256 remainders.
+SHARDS_SQL = """WITH crcs AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n) a) b),
+bytes AS (SELECT doc_id, [4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+d AS (SELECT doc_id, CAST(len(b) AS BIGINT) AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM bytes, crcs),
+p AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, row_number() OVER w AS place, sum(size) OVER () AS total FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size)),
+s AS (SELECT *, CAST(least(start * 16 // total, 15) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard_by_bytes(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import registry, tokens, toxicity
+from tessera.llm import fingerprints, registry, tokens, toxicity
 from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_llm_operators import brute_components
 
@@ -71,6 +71,18 @@ def test_query_meets_its_contract(spark, folders, name):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=key) == sorted(brute_components(rows, 4, 85, 100), key=key)
 
 
+def test_shards_equal_their_sql(spark, folders):
+    duckdb = pytest.importorskip("duckdb")
+    for path, rows in folders.values():
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from read_parquet('{path}/documents.parquet/*.parquet')")
+        got = registry.queries()["op3_byte_shards"](spark, path)
+        want = c.execute(registry.oracle_sql()["op3_byte_shards"]).fetchall()
+        names = [x[0] for x in c.description]
+        by_row = lambda x: tuple((v is not None, v) for v in x)
+        assert sorted(map(tuple, got.select(*names).collect()), key=by_row) == sorted(want, key=by_row) and len(want) == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_of_empty_tables(spark, folders, name):
     assert registry.queries()[name](spark, folders["empty"][0]).count() == 0
@@ -134,3 +146,20 @@ def test_contradicting_and_repeated_labels(spark):
     assert {"idiot", "moron"} <= set(model.weights)
     once = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert once.weights == model.weights and np.allclose(once.coef, model.coef)
+
+
+# ---------------------------------------------------------------- likeness
+
+
+def test_likeness_against_true_dice():
+    """Estimates from 64 slots stay near the Dice share of common 16-character spans, counted in full."""
+    rng, off = random.Random(21), []
+    for i in range(60):
+        a = prose(rng, "en", 150)
+        cut = rng.randrange(len(a))
+        b = a[:cut] + prose(rng, "en", 60) + a[cut + rng.randint(0, 400) :]
+        spans = lambda t: {t[j : j + 16] for j in range(len(t) - 15)}
+        x, y = spans(a), spans(b)
+        marks = [fingerprints.PrefixHash(t).fingerprint() for t in (a, b)]
+        off.append(abs(fingerprints.likeness(*marks) - 2 * len(x & y) / (len(x) + len(y))))
+    assert sum(off) / len(off) < 0.06 and max(off) < 0.25
