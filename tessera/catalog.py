@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import filters, formats, records, relations, sequences  # noqa: F401  each registers its queries
+from tessera.plans import filters, formats, networks, records, relations, sequences  # noqa: F401  each registers its queries
 from tessera.plans.base import ORACLES, QUERIES, Query
 
 
