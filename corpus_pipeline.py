@@ -28,9 +28,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents by probabilities raked to smoothed source, language and topic shares."""
+    """Draws documents by probabilities raked to tempered source, language and topic shares."""
     row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", "text")
-    return mixing.mix(mixing.with_mix_keys(row).drop("text")).filter("selected").select("row.*")
+    return mixing.mix(mixing.with_mix_keys(row).drop("text"), tempered=True).filter("selected").select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
