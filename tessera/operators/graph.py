@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,31 @@ def _ensure_checkpoint_dir(df: DataFrame) -> None:
     sc.setCheckpointDir("/tmp/tessera-checkpoints")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written below the checkpoint folder and read back: for rounds of joins.
+
+    A checkpoint keeps the optimiser's estimates, and those of a join are the product of its sides', so over many rounds of
+    checkpointed joins they grow beyond all bounds; a written table has the size of its files. See ``unstore``.
+    """
+    _ensure_checkpoint_dir(df)
+    spark = df.sparkSession
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or held.get()
+    path = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def unstore(*tables: DataFrame | None) -> None:
+    """Delete stored tables once all that was made of them is stored, too."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _least_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, component) of all edges (u, v): labels fall to the least of both ends and are then followed to their ends."""
     held = [b for b in batches if b.num_rows]

@@ -67,25 +67,66 @@ def nearest_segments(pts: DataFrame, segs: DataFrame, radius: int, k: int, size:
     return near.withColumn("rank", r).filter(F.col("rank") <= k).select(F.col("l_id").alias("id"), F.col("r_street").alias("street"), F.col("r_seg").alias("seg"), "d2", "rank")
 
 
-def nearest_in_rings(pts: DataFrame, segs: DataFrame, k: int, rings: tuple[int, ...] = (16, 48, 96, 160, 640, 2560, 10240, 40960)) -> DataFrame:
-    """The k segments nearest to each point, however far, as nearest_segments; ring is the first radius that holds k.
+def _box_tree(boxes: DataFrame, base: int, step: int) -> tuple[DataFrame, int]:
+    """A row (level, cx, cy, parent cell, box, n) for each occupied cell of a pyramid of grids, and the level of its top.
 
-    Each ring looks only at points that the one before left without k, so most are done within a few cells. A point that
-    the last ring leaves without k has what there is, with that ring; no point is farther than it from a segment.
+    Boxes (x1, y1, x2, y2) belong to the cell of their centre, and a cell has the box around all of its own, so every box
+    is counted once. A cell of one level has 2**step x 2**step of the level below.
+    """
+    low = boxes.withColumns({"cx": F.floor((F.col("x1") + F.col("x2")) / (2 * base)).cast("long"), "cy": F.floor((F.col("y1") + F.col("y2")) / (2 * base)).cast("long")})
+    around = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    level = low.groupBy("cx", "cy").agg(*around, F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(0)).checkpoint()
+    edge = level.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    tree, top = level, 0
+    while edge[0] is not None and any((hi >> (step * top)) - (lo >> (step * top)) > 1 for lo, hi in ((edge[0], edge[1]), (edge[2], edge[3]))):
+        top += 1
+        level = level.withColumns({"cx": F.shiftright("cx", step), "cy": F.shiftright("cy", step)}).groupBy("cx", "cy").agg(*around, F.sum("n").alias("n")).withColumn("level", F.lit(top))
+        tree = tree.unionByName(level)
+    return tree.checkpoint(), top
+
+
+def nearest_in_tree(pts: DataFrame, segs: DataFrame, k: int, base: int = 64, step: int = 2) -> DataFrame:
+    """The k segments nearest to each point (id, x, y), however far: id, street, seg, d2, rank; ties by street and seg.
+
+    A point descends a tree of boxes from at most four cells at its top. At each level it keeps the cells that can hold one
+    of its k: those no farther than the least distance within which cells wholly lie that hold k segments. So each
+    level is one join by parent cell and one window by point, and the number of levels follows the logarithm of the extent.
     """
     from tessera.operators.graph import _ensure_checkpoint_dir
 
     _ensure_checkpoint_dir(pts)
-    left, out = pts.select("id", "x", "y"), None
-    for i, r in enumerate(rings):
-        found = nearest_segments(left, segs, r, k, size=max(64, r)).withColumn("ring", F.lit(r)).checkpoint()
-        full = found.filter(F.col("rank") == k).select("id")
-        done = found if i + 1 == len(rings) else found.join(full, "id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full, "id", "left_anti").checkpoint()
-        if left.isEmpty():
-            break
-    return out
+    boxes = segs.select("street", "seg", F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+    tree, top = _box_tree(boxes, base, step)
+    spots = pts.filter("x IS NOT NULL AND y IS NOT NULL").select("id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+    reach = lambda p, lo, hi: F.greatest(F.col(hi) - F.col(p), F.col(p) - F.col(lo))
+    near = gap("px", "x1", "x2") * gap("px", "x1", "x2") + gap("py", "y1", "y2") * gap("py", "y1", "y2")
+    far = reach("px", "x1", "x2") * reach("px", "x1", "x2") + reach("py", "y1", "y2") * reach("py", "y1", "y2")
+
+    def closest(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("id").orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumns({"near": near, "far": far}).withColumn("held", F.sum("n").over(w))
+        found = found.withColumn("most", F.min(F.when(F.col("held") >= k, F.col("far"))).over(Window.partitionBy("id")))
+        return found.filter("most IS NULL OR near <= most").select("id", "px", "py", "cx", "cy")
+
+    own = closest(spots.crossJoin(F.broadcast(tree.filter(F.col("level") == top))))  # at most four rows
+    for level in range(top - 1, -1, -1):
+        below = tree.filter(F.col("level") == level).withColumns({"ux": F.shiftright("cx", step), "uy": F.shiftright("cy", step)}).drop("level")
+        own = closest(own.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(below, ["ux", "uy"]))
+    cells = boxes.withColumns({"cx": F.floor((F.col("x1") + F.col("x2")) / (2 * base)).cast("long"), "cy": F.floor((F.col("y1") + F.col("y2")) / (2 * base)).cast("long")})
+    d2 = F.round(point_segment_d2(F.col("px"), F.col("py"), F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2")), 6)
+    found = own.join(cells, ["cx", "cy"]).withColumn("d2", d2)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "street", "seg"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "street", "seg", "d2", "rank")
+
+
+def nearest_in_rings(pts: DataFrame, segs: DataFrame, k: int, rings: tuple[int, ...] = (16, 48, 96, 160, 640, 2560, 10240, 40960)) -> DataFrame:
+    """As ``nearest_in_tree``, with ring: the first of the radii within which all of the point's segments lie, null beyond."""
+    kth = F.max("d2").over(Window.partitionBy("id"))
+    ring = F.lit(None).cast("int")
+    for r in reversed(rings):
+        ring = F.when(kth <= r * r, F.lit(r)).otherwise(ring)
+    return nearest_in_tree(pts, segs, k).withColumn("ring", ring)
 
 
 def rect_distance2(px: Column, py: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
