@@ -73,17 +73,21 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consecutive_pairs(vertices(spark, sf_dir), ["street"], "pos", ["x", "y"]).select("street", F.col("pos").alias("seg"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("next_x").alias("x2"), F.col("next_y").alias("y2")).filter(~((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))))
 
 
-def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of a dense network of roads: (street, seg, x1, y1, x2, y2, width, surface, bridge, mask, pin1, pin2).
-
-    A road with a mask is one that players drew: only those whose bit is set may use it, and its inner vertices are pinned.
-    """
+def road_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber") - 1
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    v = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         k.alias("street"), F.row_number().over(order).alias("pos"),
         (512 + F.floor(k / ROAD_BLOCK) * ROAD_BLOCK + k * 37 % ROAD_BLOCK + n * (k * 7 % 65 - 32) + F.col("l_partkey") % 7).alias("x"), (512 + k * 91 % ROAD_DEPTH + n * (k * 11 % 57 - 28) + F.col("l_suppkey") % 7).alias("y"),
     )
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a dense network of roads: (street, seg, x1, y1, x2, y2, width, surface, bridge, mask, pin1, pin2).
+
+    A road with a mask is one that players drew: only those whose bit is set may use it, and its inner vertices are pinned.
+    """
+    v = road_vertices(spark, sf_dir)
     w = Window.partitionBy("street").orderBy("pos")
     s = v.select("street", F.col("pos").alias("seg"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), F.lead("x").over(w).cast("double").alias("x2"), F.lead("y").over(w).cast("double").alias("y2"), F.lead("x", 2).over(w).isNotNull().alias("more"))
     drawn = F.col("street") % 11 == 0
