@@ -70,3 +70,19 @@ def converted(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """The rows that can be converted, and one row that counts all and the skipped; a null check is a failed one."""
     good = F.coalesce(ok, F.lit(False))
     return df.filter(good), df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~good).alias("skipped"))
+
+
+def passing_gates(df: DataFrame, gates: dict[str, str]) -> DataFrame:
+    """Rows that no gate closes: each gate is a SQL predicate by name, one false closes, and null or an error passes.
+
+    An error closes nothing only if the predicate yields null for it, so predicates are written with ``try_`` functions
+    (``try_cast``, ``try_divide``, ``try_to_timestamp``, ``try_element_at``), which Spark evaluates without leaving the plan.
+    Column ``closed_by`` of ``gate_findings`` has the names of gates that are false.
+    """
+    return gate_findings(df, gates).filter(F.size("closed_by") == 0).drop("closed_by")
+
+
+def gate_findings(df: DataFrame, gates: dict[str, str]) -> DataFrame:
+    """Every row with ``closed_by``, the names of the gates that are false for it, in the order of registration."""
+    closed = [F.when(~F.coalesce(F.expr(predicate), F.lit(True)), F.lit(name)) for name, predicate in gates.items()]
+    return df.withColumn("closed_by", F.array_compact(F.array(*closed)) if closed else F.array().cast("array<string>"))

@@ -245,27 +245,26 @@ def simplify_lines(df: DataFrame, keys: list[str], order: str, epsilon: float) -
     return fold_sequences(df.select(*keys, order, "x", "y"), keys, [order], fold)
 
 
-def greedy_labels(df: DataFrame, keys: list[str], order: list[str], size: int = 64, max_rounds: int = 200) -> DataFrame:
+def greedy_labels(df: DataFrame, keys: list[str], order: list[str], size: int = 64) -> DataFrame:
     """Boxes (x, y, w, h) taken in order unless they overlap one taken before; only boxes of equal keys can meet.
 
     Overlaps come from one grid join. In each round the boxes without an earlier neighbour left are taken and their later
     neighbours drop out, which frees further ones, so the rounds follow the longest chain of overlaps, not the number of
-    boxes. Raises RuntimeError if boxes are still open after ``max_rounds``.
+    boxes. Each round settles one box at least, so they end.
     """
-    from tessera.operators.graph import _ensure_checkpoint_dir
+    from tessera.operators.graph import stored, unstore
     from tessera.operators.spatial import box_join
 
-    _ensure_checkpoint_dir(df)
-    boxes = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    boxes = stored(df.withColumn("__id", F.monotonically_increasing_id()))
     place = boxes.select("__id", F.struct(*order, "__id").alias("o"), F.struct(F.lit(0), *keys).alias("k"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     over = (F.col("l_x1") < F.col("r_x2")) & (F.col("r_x1") < F.col("l_x2")) & (F.col("l_y1") < F.col("r_y2")) & (F.col("r_y1") < F.col("l_y2"))
-    pairs = box_join(place, place, size).filter(over & F.col("l_k").eqNullSafe(F.col("r_k")) & (F.col("l_o") < F.col("r_o"))).select(F.col("l___id").alias("a"), F.col("r___id").alias("b")).checkpoint()
+    pairs = box_join(place, place, size).filter(over & F.col("l_k").eqNullSafe(F.col("r_k")) & (F.col("l_o") < F.col("r_o"))).select(F.col("l___id").alias("a"), F.col("r___id").alias("b")).transform(stored)
     lost = pairs.select("b").limit(0)
-    for _ in range(max_rounds):
+    while True:
         if pairs.isEmpty():
             return boxes.join(lost.select(F.col("b").alias("__id")), "__id", "left_anti").select(*df.columns)
         taken = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
-        out = pairs.join(taken, "a", "left_semi").select("b").distinct().checkpoint()
-        pairs = pairs.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b").checkpoint()
-        lost = lost.union(out)
-    raise RuntimeError(f"labels are still open after {max_rounds} rounds")
+        out = pairs.join(taken, "a", "left_semi").select("b").distinct().transform(stored)
+        before, pairs = pairs, pairs.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b").transform(stored)
+        lost = stored(lost.union(out))
+        unstore(before)
