@@ -23,10 +23,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 #: Weak parts, whole runs of any length; group "x" is the part. A weak secret also has what MIXED asks for.
 WEAK = {
-    "weak_id": re.compile(r"""(?<![A-Za-z0-9])(?P<x>(?:A[A-Z]IA[A-Z0-9]{8,}|(?i:user|username|login|client_?id|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}))""", re.ASCII),
+    "weak_id": re.compile(r"""(?<![A-Za-z0-9])(?P<x>(?:A[A-Z]IA[A-Z0-9]{8,}|(?i:user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}))""", re.ASCII),
     "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<x>[A-Za-z0-9+/_=-]{20,})"),
-    "endpoint": re.compile(r"(?P<x>(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{3,})"),
+    "endpoint": re.compile(r"(?P<x>(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20\"'<>]{3,})"),
 }
+#: The parts of an address that names its user: these are an identifier, a secret and the endpoint behind them.
+USER_INFO = re.compile(r"://(?P<user>[^\x00-\x20:/@?#]+):(?P<secret>[^\x00-\x20/@?#]{6,})@")
 MIXED = (re.compile("[0-9]"), re.compile("[a-z]"))
 #: Which other kinds make up a credential with a weak part.
 PARTNERS = {"weak_id": ("assign", "hex", "weak_secret"), "weak_secret": ("access", "weak_id"), "endpoint": ("assign", "access", "weak_secret")}
@@ -54,8 +56,16 @@ def _scopes(text: str, parts: list[tuple[int, int, str]], gap: int) -> list[int]
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], gap: int = SCOPE_CHARS) -> list[tuple[int, int, str]]:
-    """Weak parts that share a scope, within ``gap`` code points, with a complementary part not overlapping them."""
+    """Weak parts that share a scope, within ``gap`` code points, with a complementary part not overlapping them.
+
+    An address with a user and a secret before its host is three parts, so it is a credential by itself.
+    """
     weak = [(m.start("x"), m.end("x"), kind) for kind, pattern in WEAK.items() for m in pattern.finditer(text) if kind != "weak_secret" or all(x.search(m["x"]) for x in MIXED)]
+    for i, (start, end, kind) in enumerate(weak):
+        if kind == "endpoint" and (m := USER_INFO.search(text, start, end)):
+            weak[i] = (m.end(), end, "endpoint")
+            weak += [(*m.span("user"), "weak_id"), (*m.span("secret"), "weak_secret")]
+    weak = sorted({w for w in weak if w[1] > w[0]})
     if not weak:
         return []
     strong = sorted((s, e) for s, e, _ in base)
