@@ -245,6 +245,50 @@ def simplify_lines(df: DataFrame, keys: list[str], order: str, epsilon: float) -
     return fold_sequences(df.select(*keys, order, "x", "y"), keys, [order], fold)
 
 
+def line_importance(df: DataFrame, keys: list[str], order: str, least: float = 0.0) -> DataFrame:
+    """Each vertex (x, y) of each polyline with importance: the largest tolerance at which the line still keeps it.
+
+    One pass over the tree of splits: a vertex has its distance from the line between the ends of its part, at most the
+    importance of the vertex that made the part, so a line simplified by any tolerance keeps exactly what is above it. Ends
+    have infinity, vertices within ``least`` of their part 0. Of equally far vertices the first one splits.
+    """
+
+    def fold(c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        x, y = c["x"].astype(float), c["y"].astype(float)
+        out = np.zeros(len(x))
+        out[[0, -1]] = np.inf
+        work = [(0, len(x) - 1, np.inf)]
+        while work:
+            a, b, most = work.pop()
+            if b - a < 2:
+                continue
+            dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b], y[a + 1 : b]
+            n = dx * dx + dy * dy
+            t = np.clip(((px - x[a]) * dx + (py - y[a]) * dy) / n, 0.0, 1.0) if n > 0 else np.zeros(len(px))
+            ex, ey = x[a] + t * dx - px, y[a] + t * dy - py
+            far = np.sqrt(ex * ex + ey * ey)
+            i = int(far.argmax())
+            if far[i] > least:
+                k = a + 1 + i
+                out[k] = min(far[i], most)
+                work += [(a, k, out[k]), (k, b, out[k])]
+        return np.arange(len(x)), {"importance": out}
+
+    return fold_sequences(df.select(*keys, order, "x", "y"), keys, [order], fold, "importance double")
+
+
+def simplify_to_budget(df: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
+    """Vertices of each polyline with importance and kept: those above the least tolerance that keeps at most ``budget``.
+
+    Equally important vertices stay or go together, so fewer may be kept; ends always stay.
+    """
+    from pyspark.sql import Window
+
+    ranked = line_importance(df, keys, order).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("importance"), order)))
+    over = F.coalesce(F.max(F.when(F.col("__r") > budget, F.col("importance"))).over(Window.partitionBy(*keys)), F.lit(-1.0))
+    return ranked.withColumn("kept", (F.col("importance") > over) | (F.col("importance") == float("inf"))).drop("__r")
+
+
 def greedy_labels(df: DataFrame, keys: list[str], order: list[str], size: int = 64) -> DataFrame:
     """Boxes (x, y, w, h) taken in order unless they overlap one taken before; only boxes of equal keys can meet.
 
