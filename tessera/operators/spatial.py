@@ -176,3 +176,21 @@ def split_at_grid(df: DataFrame, size: int = 300) -> DataFrame:
         return F.transform(F.filter(lines, lambda i: (i * size > lo) & (i * size < hi)), lambda i: F.round((i * size - F.col(p)) / (F.col(q) - F.col(p)), 9))
 
     return df.withColumn("ts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts("x1", "x2"), cuts("y1", "y2")))))
+
+
+def polygon_rows(polygons: DataFrame) -> DataFrame:
+    """Unit cells inside polygons (id, ring) as runs of columns: (id, y, x1, x2), both ends included.
+
+    A cell belongs to a polygon if its centre is inside by the even-odd rule, so holes and crossings of the outline work.
+    ``ring`` is an array of (x, y) whose last repeats the first. Each edge gives the rows that it spans the place where it
+    crosses their centres, a row's places are sorted and filled in pairs; nothing grows with the area, only with height.
+    """
+    pairs = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    e = polygons.filter(F.size("ring") > 3).select("id", F.explode(pairs).alias("e")).select("id", *[F.col(f"e.{s}.{c}").cast("double").alias(f"{s}{c}") for s in "ab" for c in "xy"]).filter("ay <> by")
+    low, high = F.ceil(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5) - 1
+    rows = e.filter(low <= high).withColumn("y", F.explode(F.sequence(low, high)))
+    x = F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    crossed = rows.groupBy("id", "y").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    at = F.explode(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)))
+    runs = crossed.select("id", "y", "xs", at.alias("i")).select("id", "y", F.ceil(F.element_at("xs", F.col("i")) - 0.5).alias("x1"), (F.ceil(F.element_at("xs", F.col("i") + 1) - 0.5) - 1).alias("x2"))
+    return runs.filter("x1 <= x2")
