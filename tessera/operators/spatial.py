@@ -109,7 +109,13 @@ def nearest_in_tree(pts: DataFrame, segs: DataFrame, k: int, base: int = 64, ste
         found = found.withColumn("most", F.min(F.when(F.col("held") >= k, F.col("far"))).over(Window.partitionBy("id")))
         return found.filter("most IS NULL OR near <= most").select("id", "px", "py", "cx", "cy")
 
-    own = closest(spots.crossJoin(F.broadcast(tree.filter(F.col("level") == top))))  # at most four rows
+    names = ["cx", "cy", "x1", "y1", "x2", "y2", "n"]
+    kinds = dict(tree.dtypes)
+    highest = tree.filter(F.col("level") == top).select(*names).collect()  # at most four rows
+    cells = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in names]) for r in highest])
+    if not highest:
+        cells = F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in names)}>>")
+    own = closest(spots.select("*", F.inline(cells)))
     for level in range(top - 1, -1, -1):
         below = tree.filter(F.col("level") == level).withColumns({"ux": F.shiftright("cx", step), "uy": F.shiftright("cy", step)}).drop("level")
         own = closest(own.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(below, ["ux", "uy"]))
