@@ -30,10 +30,13 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.segment_crossings(segments(spark, sf_dir))
 
 
+def _closed_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rects(spark, sf_dir).select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w") - 1).alias("x2"), (F.col("y") + F.col("h") - 1).alias("y2"))
+
+
 @query(with_views("SELECT a.id AS a, b.id AS b FROM v_rect a JOIN v_rect b ON a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h", "v_rect"))
 def rect_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rects(spark, sf_dir).select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w") - 1).alias("x2"), (F.col("y") + F.col("h") - 1).alias("y2"))
-    return P.box_join(r, r).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    return P.meeting_boxes(_closed_rects(spark, sf_dir))
 
 
 _RINGS = "CASE " + " ".join(f"WHEN kth <= {r * r} THEN {r}" for r in (16, 48, 96, 160, 640, 2560, 10240)) + " ELSE 40960 END"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import sequence as Q
+from tessera.operators import spatial as P
 
 
 def test_fill_nearest_costs_each_row_once(spark):
@@ -10,3 +11,57 @@ def test_fill_nearest_costs_each_row_once(spark):
     for got in (Q.fill_nearest(d, ["k"], "seq", "seq", F.col("v"), "near"), Q.fill_nearest_alike(d, ["k"], "seq", "seq", F.col("v"), "kind", "near")):
         assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert got.filter(F.col("near") != F.when(F.col("seq") <= 10_007, 7).otherwise(20_007)).isEmpty() and got.filter("near IS NULL").isEmpty()
+
+
+def _counted(monkeypatch, module):
+    """Counts the rows of both sides of every box join."""
+    seen, real = [], module.box_join
+    monkeypatch.setattr(module, "box_join", lambda left, right, *a, **k: seen.append((left.count(), right.count())) or real(left, right, *a, **k))
+    return seen
+
+
+def test_polygons_and_points_at_one_place_are_looked_at_once(spark, monkeypatch):
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    polys = spark.createDataFrame([(i, ring(100.0 * (i % 2), 0.0, 10.0)) for i in range(40)] + [(90, ring(500.0, 0.0, 10.0))], "poly long, ring array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame([(i, 5, 4) for i in range(30)] + [(50, 130, 5), (51, 103, 5), (52, 470, 0), (53, 900, 900)], "id long, x long, y long")
+    seen = _counted(monkeypatch, P)
+    got = {r["id"]: (r["poly"], r["inside"], r["away"]) for r in P.nearest_polygons(pts, polys, 40.0).collect()}
+    assert got == {i: (0, True, -4.0) for i in range(30)} | {50: (1, False, 20.0), 51: (1, True, -3.0), 52: (90, False, 30.0)}
+    assert seen == [(5, 3), (3, 3)]  # places and rings; those with nothing near look further
+
+
+def test_equal_boxes_are_joined_once(spark, monkeypatch):
+    kinds = [(0, 0, 4, 4), (3, 3, 9, 9), (9, 9, 9, 9), (40, 40, 50, 50)]
+    rows = [(i, *kinds[i % 4]) for i in range(80)] + [(200, 40, 0, 41, 1), (None, 0, 0, 4, 4)]
+    boxes = spark.createDataFrame(rows, "id long, x1 long, y1 long, x2 long, y2 long")
+    seen = _counted(monkeypatch, P)
+    got = sorted(map(tuple, P.meeting_boxes(boxes).collect()))
+    meet = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    known = [r for r in rows if r[0] is not None]
+    assert got == sorted((a[0], b[0]) for a in known for b in known if a[0] < b[0] and meet(a, b))
+    assert seen == [(5, 5)]
+
+
+def test_components_of_copies_come_from_their_classes(spark, tmp_path, monkeypatch):
+    from tessera.plans import relations
+
+    key = F.col("id") % 30 + 1024 * 16 * F.floor(F.col("id") / 30)  # 30 boxes, 100 times
+    parts = spark.range(3000).select(key.alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit(3).alias("p_size"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    given = []
+    monkeypatch.setattr(relations, "connected_components", lambda e, a, b: given.append(e.count()) or e)
+    relations.components(spark, str(tmp_path))
+    pairs = relations.rect_overlap_pairs(spark, str(tmp_path)).count()
+    assert given[0] <= 4 * 3000 and pairs > 10 * given[0]
+
+
+def test_equal_labels_are_joined_once(spark, monkeypatch):
+    rows = [(i, 10 * (i % 3), 0, 15, 5) for i in range(90)] + [(i, 500, 0, 0, 5) for i in (100, 101)]
+    seen = _counted(monkeypatch, P)
+    got = Q.greedy_labels(spark.createDataFrame(rows, "id long, x long, y long, w long, h long"), [], ["id"])
+    taken = []
+    for i, x, y, w, h in rows:
+        if not any(x < c + e and c < x + w and y < d + f and d < y + h for _, c, d, e, f in taken):
+            taken.append((i, x, y, w, h))
+    assert sorted(map(tuple, got.collect())) == sorted(taken)
+    assert seen == [(5, 5)]  # three boxes and two empty ones, which bar nothing
