@@ -112,10 +112,10 @@ def same_building_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def centre_in(a: str, b: str):
         ok = F.lit(True)
         for p, s in (("x", "w"), ("y", "h")):
-            c = F.col(f"{a}_{p}") * 2 + F.col(f"{a}_{s}")
-            ok = ok & (c >= F.col(f"{b}_{p}") * 2) & (c < (F.col(f"{b}_{p}") + F.col(f"{b}_{s}")) * 2)
+            c = F.col(f"{a}{p}") * 2 + F.col(f"{a}{s}")
+            ok = ok & (c >= F.col(f"{b}{p}") * 2) & (c < (F.col(f"{b}{p}") + F.col(f"{b}{s}")) * 2)
         return ok
-    return P.box_join(r, r).filter((F.col("l_id") < F.col("r_id")) & centre_in("l", "r") & centre_in("r", "l")).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    return P.meeting_boxes(r, meet=lambda a, b: centre_in(a, b) & centre_in(b, a))
 
 
 # ---------------------------------------------------------------- equi, anti and precedence joins
