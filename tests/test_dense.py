@@ -65,3 +65,17 @@ def test_equal_labels_are_joined_once(spark, monkeypatch):
             taken.append((i, x, y, w, h))
     assert sorted(map(tuple, got.collect())) == sorted(taken)
     assert seen == [(5, 5)]  # three boxes and two empty ones, which bar nothing
+
+
+def test_landmark_distances_in_tasks_equal_rounds_of_joins(spark, monkeypatch):
+    from tessera.operators import routing as R
+
+    place = lambda x, y: (x << 32) + y
+    lines = [(place(i + 100 * c, j), place(i + 100 * c + di, j + dj), 1.0 + (i * 7 + j * 3 + c) % 5) for c in range(3) for i in range(6) for j in range(6) for di, dj in ((1, 0), (0, 1)) if i + di < 6 and j + dj < 6]
+    edges = spark.createDataFrame(lines + [(b, a, c) for a, b, c in lines], "a long, b long, cost double")
+    marks = R.extreme_nodes(edges)
+    table = lambda **k: sorted(map(tuple, R.landmark_bounds(edges, marks, 20.0, **k).collect()))
+    rounds = table(edges_in_task=1)
+    assert len(rounds) > 3 * 36 * 3
+    monkeypatch.setattr(R, "distances", None)  # small components take no rounds
+    assert table() == rounds
