@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
+"""Mixing sources to target weights by iterative proportional fitting, with words counted in Arrow batches.
 
 Token totals of (source, language, topic) cells are raked to marginal targets; each cell's inclusion probability is held
 at or below 1, and documents are drawn by a hash of their id against the probability of their cell.
@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import functools
 import logging
-import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ SMOOTHING = 0.7
 TOLERANCE = 1e-3
 MAX_CYCLES = 50
 SMALL_CELLS = 50_000
-TOPIC_SAMPLE_ROWS = 20_000
 TOPICS_PER_LANG, WORDS_PER_TOPIC = 4, 60
 WATER_ROUNDS = 12
+#: So many counted words a task holds before it hands its partial sums on.
+HELD_WORDS = 500_000
+_RUNS = re.compile(r"[^\W\d_]+")
 SALTS = 32
 
 
@@ -52,28 +56,95 @@ def words_pattern(words: list[str]) -> str:
     return rf"(?<!\p{{L}}){alternatives(tree)}(?!\p{{L}})"
 
 
-def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = TOPIC_SAMPLE_ROWS, topics: int = TOPICS_PER_LANG, words: int = WORDS_PER_TOPIC) -> dict[str, dict[str, list[str]]]:
-    """The words of up to ``topics`` topics of each language, learned from about ``sample_rows`` texts chosen by their hash.
+def _words(text: str) -> list[str]:
+    """Runs of letters (category L, as the pattern of ``words_pattern``) of 4 to 40 characters."""
+    found = []
+    for w in _RUNS.findall(text):
+        found += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return [w for w in found if 4 <= len(w) <= 40]
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """(lang, text) of rows (lang, doc, text) without those whose language and hash came before; equal ones are in one task."""
+    seen = set()
+    for b in batches:
+        for lang, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (lang, doc) not in seen:
+                seen.add((lang, doc))
+                yield lang, text
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums (lang, w, df, tf) of every word; the empty word has the number of a language's texts."""
+    df, tf = defaultdict(Counter), defaultdict(Counter)
+
+    def held() -> Iterator[pa.RecordBatch]:
+        for lang, of in df.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(of), pa.string()), "w": pa.array(list(of), pa.string()), "df": pa.array(list(of.values()), pa.int64()), "tf": pa.array([tf[lang][w] for w in of], pa.int64())})
+
+    n = 0
+    for lang, text in _first_seen(batches):
+        words = _words(text)
+        df[lang].update({"", *words})
+        tf[lang].update(words)
+        n += 1
+        if n % 1000 == 0 and sum(map(len, df.values())) > HELD_WORDS:
+            yield from held()
+            df.clear(), tf.clear()
+    yield from held()
+
+
+def _beside(seeds: dict[str, list[str]]):
+    """For ``mapInArrow``: partial sums (lang, seed, w, n) of the texts that hold a seed of their language, for every word of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = defaultdict(Counter)
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for (lang, seed), of in met.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(of), pa.string()), "seed": pa.array([seed] * len(of), pa.string()), "w": pa.array(list(of), pa.string()), "n": pa.array(list(of.values()), pa.int64())})
+
+        n = 0
+        for lang, text in _first_seen(batches):
+            near = [s for s in seeds.get(lang, ()) if s in text]
+            if not near:
+                continue
+            words = set(_words(text))
+            for s in near:
+                if s in words:
+                    met[lang, s].update(words)
+            n += 1
+            if n % 1000 == 0 and sum(map(len, met.values())) > HELD_WORDS:
+                yield from held()
+                met.clear()
+        yield from held()
+
+    return run
+
+
+def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = TOPICS_PER_LANG, words: int = WORDS_PER_TOPIC) -> dict[str, dict[str, list[str]]]:
+    """The words of up to ``topics`` topics of each language, learned from every text; equal texts count once.
 
     A topic is named by its seed: a word in a fiftieth to a fifth of the language's texts that comes again within them
     more often than if strewn by chance. Every other word in a hundredth to a fifth of the texts goes to the seed that it
     shares texts with most above chance, and each topic keeps the ``words`` that speak most for it. Each language has topics of
     its own, however many languages there are; null is a language, too.
     """
-    n = df.count()
-    keep = F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(math.ceil(min(1.0, sample_rows / max(1, n)) * 1_000_000))
-    texts = df.filter(F.col(text_col).isNotNull() & keep).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = texts.select("lang", "doc", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.char_length("w").between(4, 40))
+    text = F.col(text_col).cast("string")
+    texts = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("doc"), F.lower(text).alias("text")).repartition("doc")
     _ensure_checkpoints(df.sparkSession)
-    held = found.groupBy("lang", "w", "doc").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
-    size = texts.groupBy("lang").agg(F.count_distinct("doc").alias("texts"))
-    seen = held.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).join(F.broadcast(size), "lang")  # a row for each language
+    every = texts.mapInArrow(_word_rows, "lang string, w string, df long, tf long").groupBy("lang", "w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).checkpoint()
+    size = every.filter("w = ''").select("lang", F.col("df").alias("texts"))
+    seen = every.filter("w <> ''").join(F.broadcast(size), "lang")  # a row for each language
     common = seen.filter((F.col("df") >= F.greatest(F.lit(2), F.col("texts") / 100)) & (F.col("df") <= F.greatest(F.lit(2), F.col("texts") / 5))).checkpoint()
     extra = F.log2(F.col("texts") / F.col("df")) + F.log2(1 - F.exp(-F.col("tf") / F.col("texts")))
     ranked = common.filter(F.col("df") >= F.greatest(F.lit(3), F.col("texts") / 50)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(extra), "w")))
     seeds = ranked.filter(F.col("r") <= topics).select("lang", F.col("w").alias("seed"), F.col("df").alias("seed_df")).checkpoint()
-    of_doc = held.select("lang", "doc", F.col("w").alias("seed")).join(F.broadcast(seeds), ["lang", "seed"])  # topics rows for each language
-    both = held.join(common.select("lang", "w", "df", "texts"), ["lang", "w"]).join(of_doc, ["lang", "doc"]).groupBy("lang", "w", "df", "texts", "seed", "seed_df").agg(F.count(F.lit(1)).alias("n"))
+    of_lang: dict[str, list[str]] = {}
+    for r in seeds.select("lang", "seed").collect():  # topics rows for each language
+        of_lang.setdefault(r["lang"], []).append(r["seed"])
+    beside = texts.mapInArrow(_beside(of_lang), "lang string, seed string, w string, n long").groupBy("lang", "seed", "w").agg(F.sum("n").alias("n"))
+    both = beside.join(common.select("lang", "w", "df", "texts"), ["lang", "w"]).join(F.broadcast(seeds), ["lang", "seed"])
     lift = F.col("n") * F.col("texts") / (F.col("df") * F.col("seed_df"))
     own = both.filter((F.col("n") >= 2) | (F.col("w") == F.col("seed"))).groupBy("lang", "w").agg(F.max_by(F.struct("seed", (F.col("n") * F.log2(lift)).alias("gain")), F.struct(F.when(F.col("w") == F.col("seed"), 1).otherwise(0), lift, "seed")).alias("b"))
     best = own.select("lang", "w", "b.*").withColumn("r", F.row_number().over(Window.partitionBy("lang", "seed").orderBy((F.col("w") == F.col("seed")).desc(), F.desc("gain"), "w"))).filter((F.col("r") <= words) & ((F.col("gain") > 0) | (F.col("w") == F.col("seed"))))
@@ -96,14 +167,14 @@ def topic_of(low: Column, lang: Column, lexicon: dict[str, dict[str, list[str]]]
     return F.coalesce(topic, F.lit("other"))
 
 
-def with_mix_keys(df: DataFrame, text_col: str = "text", lexicon: dict[str, dict[str, list[str]]] | None = None, lang_col: str = "lang", sample_rows: int = TOPIC_SAMPLE_ROWS, topics: int = TOPICS_PER_LANG, words: int = WORDS_PER_TOPIC) -> DataFrame:
+def with_mix_keys(df: DataFrame, text_col: str = "text", lexicon: dict[str, dict[str, list[str]]] | None = None, lang_col: str = "lang", topics: int = TOPICS_PER_LANG, words: int = WORDS_PER_TOPIC) -> DataFrame:
     """Add n_tokens and topic, in place of columns of these names; in the mix a null source or lang is ``(none)``.
 
     The topic is the one of ``lexicon``'s topics of the row's language of whose words the whole text has most; without a
     ``lexicon`` it is learned from the table itself (see ``topic_lexicon``). A null or empty text, and one with none of these
     words, has the topic ``other``; a null or empty one has no tokens.
     """
-    lexicon = topic_lexicon(df, text_col, lang_col, sample_rows, topics, words) if lexicon is None else lexicon
+    lexicon = topic_lexicon(df, text_col, lang_col, topics, words) if lexicon is None else lexicon
     low = df.drop("n_tokens", "topic").withColumns({"n_tokens": token_count(F.col(text_col)), "__low": F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))})
     return low.withColumn("topic", topic_of(F.col("__low"), F.col("__lang"), lexicon)).drop("__low", "__lang")
 

@@ -74,3 +74,13 @@ def test_mix_of_tempered_targets_edges(spark, no_docs, docs):
     assert mixing.mix(mixing.with_mix_keys(no_docs), tempered=True).count() == 0
     assert mixing.mix(mixing.with_mix_keys(docs.filter("text IS NULL")), tempered=True).count() == docs.filter("text IS NULL").count()
     assert mixing.mix(mixing.with_mix_keys(docs), tempered=True, small_cells=0).count() == docs.count()
+
+
+def test_topics_are_learned_from_every_text_once(spark):
+    rows = [(i, f"common{'abcdefg'[i % 7]} alpha{'xyz'[i % 3]} plain" + (" rareone rareone rareone sidekick\u00b2rareone" if i % 45 == 0 else ""), "en") for i in range(45_000)]
+    rows += [(50_000 + i, "copied copied copied words", "en") for i in range(2_000)]
+    df = spark.createDataFrame([(i, f"{t} n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}" if i < 50_000 else t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(7)
+    found = mixing.topic_lexicon(df, topics=3)
+    assert all("copied" not in ws for ws in found["en"].values())
+    sums = {r["w"]: (r["df"], r["tf"]) for r in df.select("lang", F.xxhash64("text").alias("doc"), "text").repartition("doc").mapInArrow(mixing._word_rows, "lang string, w string, df long, tf long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).collect()}
+    assert sums["plain"] == (45_000, 45_000) and sums["rareone"] == (1000, 4000) and sums["copied"] == (1, 3) and sums[""][0] == 45_001
