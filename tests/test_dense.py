@@ -79,3 +79,15 @@ def test_landmark_distances_in_tasks_equal_rounds_of_joins(spark, monkeypatch):
     assert len(rounds) > 3 * 36 * 3
     monkeypatch.setattr(R, "distances", None)  # small components take no rounds
     assert table() == rounds
+
+
+def test_short_routes_are_asked_without_landmarks(spark, sf, monkeypatch):
+    from tessera.plans import networks
+
+    asked = {}
+    monkeypatch.setattr(networks.N, "planar_pieces", lambda s: s)
+    monkeypatch.setattr(networks.N, "planar_edges", lambda s: s)
+    monkeypatch.setattr(networks, "stored", lambda s: s)
+    monkeypatch.setattr(networks.R, "request_routes", lambda q, e, **k: asked.update(k) or (q.withColumn("cost", F.lit(0.0)), e))
+    networks.requested_routes(spark, sf)
+    assert asked == {"landmarks": False, "max_cost": 1500.0}
