@@ -91,3 +91,15 @@ def test_short_routes_are_asked_without_landmarks(spark, sf, monkeypatch):
     monkeypatch.setattr(networks.R, "request_routes", lambda q, e, **k: asked.update(k) or (q.withColumn("cost", F.lit(0.0)), e))
     networks.requested_routes(spark, sf)
     assert asked == {"landmarks": False, "max_cost": 1500.0}
+
+
+def test_feet_of_ends_are_reckoned_once(spark):
+    from tessera.operators import network as N
+
+    kind = "street long, seg int, x1 double, y1 double, x2 double, y2 double, width double, surface string, bridge boolean, mask int, pin1 boolean, pin2 boolean"
+    segs = spark.createDataFrame([(1, 1, 0.0, 0.0, 40.0, 0.0, 4.0, "paved", False, None, False, False), (2, 1, 20.0, 3.0, 20.0, 60.0, 4.0, "paved", False, None, False, False)], kind)
+    found = N.attachments(N.near_pairs(N.with_ends(segs)))
+    assert [(r["kind"], r["street"], r["qx"], r["d2"]) for r in found.collect()] == [("tee", 1, 20.0, 9.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    near = next(line for line in plan.splitlines() if "Filter" in line and "d2#" in line)
+    assert " / " not in near  # the filter reads the distance, and does not reckon the foot anew at each place that needs it
