@@ -103,3 +103,12 @@ def test_feet_of_ends_are_reckoned_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     near = next(line for line in plan.splitlines() if "Filter" in line and "d2#" in line)
     assert " / " not in near  # the filter reads the distance, and does not reckon the foot anew at each place that needs it
+
+
+def test_points_at_one_place_look_for_segments_once(spark, monkeypatch):
+    segs = spark.createDataFrame([(1, 1, 0, 0, 10, 0), (2, 1, 0, 30, 10, 30), (3, 1, 900, 0, 910, 0)], "street long, seg int, x1 long, y1 long, x2 long, y2 long")
+    pts = spark.createDataFrame([(i, 5 + 900 * (i % 2), 1) for i in range(40)] + [(50, None, 1)], "id long, x long, y long")
+    asked, real = [], P.nearest_in_tree
+    monkeypatch.setattr(P, "nearest_in_tree", lambda p, s, k: asked.append(p.count()) or real(p, s, k))
+    got = sorted((r["id"], r["rank"], r["street"], r["d2"]) for r in P.nearest_in_rings(pts, segs, 1).collect())
+    assert got == [(i, 1, 1 + 2 * (i % 2), 1.0) for i in range(40)] and asked == [2]
