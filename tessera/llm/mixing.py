@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by iterative proportional fitting, with words counted in Arrow batches.
+"""Mixing sources to target weights by iterative proportional fitting.
 
 Token totals of (source, language, topic) cells are raked to marginal targets; each cell's inclusion probability is held
 at or below 1, and documents are drawn by a hash of their id against the probability of their cell.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import shared_folder, written
+from tessera.llm.textops import discard, shared_folder, written
 
 MARGINS = ("source", "lang", "topic")
 FRACTION = 0.5
@@ -26,6 +26,8 @@ MAX_CYCLES = 50
 SMALL_CELLS = 50_000
 TOPICS_PER_LANG, WORDS_PER_TOPIC = 4, 60
 WATER_ROUNDS = 12
+#: Up to so many words that are neither rare nor everywhere are broadcast; beyond that they are shuffled.
+BROADCAST_WORDS = 500_000
 #: So many counted words a task holds before it hands its partial sums on.
 HELD_WORDS = 500_000
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -75,7 +77,7 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums (lang, w, df, tf) of every word; the empty word has the number of a language's texts."""
+    """As ``word_counts`` for ``mapInArrow``, as partial sums: what the counts of the plan are tested against."""
     df, tf = defaultdict(Counter), defaultdict(Counter)
 
     def held() -> Iterator[pa.RecordBatch]:
@@ -94,32 +96,38 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held()
 
 
-def _beside(seeds: dict[str, list[str]]):
-    """For ``mapInArrow``: partial sums (lang, seed, w, n) of the texts that hold a seed of their language, for every word of theirs."""
+def letter_runs(low: Column) -> Column:
+    """All runs of letters of a lower-case text, as an array; it can hold an empty one."""
+    return F.split(low, r"[^\p{L}]+")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = defaultdict(Counter)
 
-        def held() -> Iterator[pa.RecordBatch]:
-            for (lang, seed), of in met.items():
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(of), pa.string()), "seed": pa.array([seed] * len(of), pa.string()), "w": pa.array(list(of), pa.string()), "n": pa.array(list(of.values()), pa.int64())})
+def distinct_texts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text), in lower case, of every text that is not null, equal ones of a language once, written."""
+    text = F.col(text_col).cast("string")
+    texts = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("doc"), F.lower(text).alias("text"))
+    return written(texts.dropDuplicates(["lang", "doc"]).select("lang", "text"))
+
 
-        n = 0
-        for lang, text in _first_seen(batches):
-            near = [s for s in seeds.get(lang, ()) if s in text]
-            if not near:
-                continue
-            words = set(_words(text))
-            for s in near:
-                if s in words:
-                    met[lang, s].update(words)
-            n += 1
-            if n % 1000 == 0 and sum(map(len, met.values())) > HELD_WORDS:
-                yield from held()
-                met.clear()
-        yield from held()
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, w, df, tf): in how many of ``distinct_texts`` each word of 4 to 40 letters is, and how often; ``''`` counts the texts."""
+    runs = letter_runs(F.col("text"))
+    own = texts.select("lang", F.array_distinct(runs).alias("own"), runs.alias("runs"))
+    each = own.select("lang", F.size("own").alias("n"), F.posexplode(F.concat("own", "runs")).alias("at", "w"))  # each word once, then as often as it comes
+    counts = each.filter(F.length("w").between(4, 40)).groupBy("lang", "w").agg(F.count_if(F.col("at") < F.col("n")).alias("df"), F.count_if(F.col("at") >= F.col("n")).alias("tf"))
+    return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("df")).select("lang", F.lit("").alias("w"), "df", F.lit(0).cast("long").alias("tf")).union(counts)
 
-    return run
+
+def words_beside(texts: DataFrame, seeds: dict[str, list[str]], common: DataFrame) -> DataFrame:
+    """(lang, seed, w, n): in how many of ``distinct_texts`` that hold a seed of their language each word of ``common`` is."""
+    of = F.array().cast("array<string>")
+    for lang, words in seeds.items():
+        of = F.when(F.col("lang") == lang, F.array(*[F.lit(w) for w in words])).otherwise(of)
+    own = texts.select("lang", F.array_distinct(letter_runs(F.col("text"))).alias("own"), of.alias("seeds"))
+    near = own.select("lang", F.array_sort(F.array_intersect("own", "seeds")).alias("near"), "own").filter(F.size("near") > 0)
+    known = common.select("lang", "w")
+    known = F.broadcast(known) if known.count() <= BROADCAST_WORDS else known
+    met = near.select("lang", "near", F.explode("own").alias("w")).filter(F.length("w").between(4, 40)).join(known, ["lang", "w"]).groupBy("lang", "near", "w").agg(F.count(F.lit(1)).alias("n"))
+    return met.select("lang", F.explode("near").alias("seed"), "w", "n").groupBy("lang", "seed", "w").agg(F.sum("n").alias("n"))
 
 
 def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = TOPICS_PER_LANG, words: int = WORDS_PER_TOPIC) -> dict[str, dict[str, list[str]]]:
@@ -130,10 +138,9 @@ def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     shares texts with most above chance, and each topic keeps the ``words`` that speak most for it. Each language has topics of
     its own, however many languages there are; null is a language, too.
     """
-    text = F.col(text_col).cast("string")
-    texts = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("doc"), F.lower(text).alias("text")).repartition("doc")
     _ensure_checkpoints(df.sparkSession)
-    every = texts.mapInArrow(_word_rows, "lang string, w string, df long, tf long").groupBy("lang", "w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).checkpoint()
+    texts = distinct_texts(df, text_col, lang_col)
+    every = word_counts(texts).checkpoint()
     size = every.filter("w = ''").select("lang", F.col("df").alias("texts"))
     seen = every.filter("w <> ''").join(F.broadcast(size), "lang")  # a row for each language
     common = seen.filter((F.col("df") >= F.greatest(F.lit(2), F.col("texts") / 100)) & (F.col("df") <= F.greatest(F.lit(2), F.col("texts") / 5))).checkpoint()
@@ -143,7 +150,7 @@ def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     of_lang: dict[str, list[str]] = {}
     for r in seeds.select("lang", "seed").collect():  # topics rows for each language
         of_lang.setdefault(r["lang"], []).append(r["seed"])
-    beside = texts.mapInArrow(_beside(of_lang), "lang string, seed string, w string, n long").groupBy("lang", "seed", "w").agg(F.sum("n").alias("n"))
+    beside = words_beside(texts, of_lang, common)
     both = beside.join(common.select("lang", "w", "df", "texts"), ["lang", "w"]).join(F.broadcast(seeds), ["lang", "seed"])
     lift = F.col("n") * F.col("texts") / (F.col("df") * F.col("seed_df"))
     own = both.filter((F.col("n") >= 2) | (F.col("w") == F.col("seed"))).groupBy("lang", "w").agg(F.max_by(F.struct("seed", (F.col("n") * F.log2(lift)).alias("gain")), F.struct(F.when(F.col("w") == F.col("seed"), 1).otherwise(0), lift, "seed")).alias("b"))
@@ -151,6 +158,7 @@ def topic_lexicon(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     out: dict[str, dict[str, list[str]]] = {}
     for r in best.groupBy("lang", "seed").agg(F.array_sort(F.collect_list("w")).alias("words")).orderBy("lang", "seed").collect():  # topics x words for each language
         out.setdefault(r["lang"], {})[r["seed"]] = r["words"]
+    discard(texts)
     return out
 
 
@@ -158,7 +166,11 @@ def topic_of(low: Column, lang: Column, lexicon: dict[str, dict[str, list[str]]]
     """The topic of whose words, as whole words, a lower-case text has most, of equals the first; ``other`` without any."""
     topic = F.when(F.lit(False), F.lit(""))
     for of, topics in lexicon.items():
-        hits = F.regexp_extract_all(low, F.lit(words_pattern(sorted({w for ws in topics.values() for w in ws}))), F.lit(0))
+        every = sorted({w for ws in topics.values() for w in ws})
+        if all(w.isalpha() for w in every):
+            hits = F.filter(letter_runs(low), lambda w: w.isin(every))  # noqa: B023
+        else:
+            hits = F.regexp_extract_all(low, F.lit(words_pattern(every)), F.lit(0))
         names = list(topics)
         count = lambda h, ws: F.size(F.filter(h, lambda w: w.isin(ws)))
         of_hits = lambda h: F.array_max(F.array(*[F.struct(count(h, topics[t]).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(names)]))  # noqa: B023, E731

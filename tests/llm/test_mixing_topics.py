@@ -84,3 +84,32 @@ def test_topics_are_learned_from_every_text_once(spark):
     assert all("copied" not in ws for ws in found["en"].values())
     sums = {r["w"]: (r["df"], r["tf"]) for r in df.select("lang", F.xxhash64("text").alias("doc"), "text").repartition("doc").mapInArrow(mixing._word_rows, "lang string, w string, df long, tf long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).collect()}
     assert sums["plain"] == (45_000, 45_000) and sums["rareone"] == (1000, 4000) and sums["copied"] == (1, 3) and sums[""][0] == 45_001
+
+
+def test_words_are_counted_by_the_plan_alone(spark, docs):
+    some = docs.filter("text IS NOT NULL").withColumn("lang", F.coalesce("lang", F.lit("")))
+    some = some.union(some)  # copies count once
+    texts = mixing.distinct_texts(some, "text", "lang")
+    counts = mixing.word_counts(texts)
+    one = some.select("lang", F.xxhash64("text").alias("doc"), F.lower("text").alias("text")).repartition("doc")
+    want = one.mapInArrow(mixing._word_rows, "lang string, w string, df long, tf long").groupBy("lang", "w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    assert counts.count() > 100 and counts.exceptAll(want).isEmpty() and want.exceptAll(counts).isEmpty()
+    seeds = {r["lang"]: [r["w"]] for r in counts.filter("w <> ''").groupBy("lang").agg(F.max_by("w", F.struct("df", "w")).alias("w")).collect()}
+    common = counts.filter("df >= 2 AND w <> ''")
+    beside = mixing.words_beside(texts, seeds, common)
+    held = Counter()
+    known = {(r["lang"], r["w"]) for r in common.collect()}
+    for r in texts.collect():
+        words = set(mixing._words(r["text"]))
+        held.update((r["lang"], s, w) for s in seeds.get(r["lang"], ()) if s in words for w in words if (r["lang"], w) in known)
+    assert {(r["lang"], r["seed"], r["w"]): r["n"] for r in beside.collect()} == held
+    keyed = mixing.with_mix_keys(some)
+    for d in (counts, beside, keyed):
+        assert "MapInArrow" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topics_are_learned_without_python(spark, docs, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", None)
+    assert mixing.topic_lexicon(docs)
