@@ -1,7 +1,12 @@
 """Operators on dense tables: many rows of one key, many equal boxes, many places close together."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import half_up
+from tessera.operators import matching as M
 from tessera.operators import sequence as Q
 from tessera.operators import spatial as P
 
@@ -112,3 +117,78 @@ def test_points_at_one_place_look_for_segments_once(spark, monkeypatch):
     monkeypatch.setattr(P, "nearest_in_tree", lambda p, s, k: asked.append(p.count()) or real(p, s, k))
     got = sorted((r["id"], r["rank"], r["street"], r["d2"]) for r in P.nearest_in_rings(pts, segs, 1).collect())
     assert got == [(i, 1, 1 + 2 * (i % 2), 1.0) for i in range(40)] and asked == [2]
+
+
+def _random_segments(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        x, y, far = rng.randint(-300, 300), rng.randint(-300, 300), 900 if i % 17 == 0 else 40
+        out.append((i // 3, i % 3, x, y, x + rng.randint(-far, far), y + rng.randint(-far, far)))
+    return [s for s in out if s[2:4] != s[4:]]
+
+
+def _after_arrow(df):
+    """The plan's nodes above its last pass over Arrow batches."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan[: plan.index("MapInArrow")]
+
+
+def test_cuts_are_made_without_a_shuffle_of_crossings(spark):
+    rows = _random_segments(300, 5)
+    segs = spark.createDataFrame([*rows, (999, 1, None, 0, 1, 1)], "street long, seg int, x1 long, y1 long, x2 long, y2 long")
+    got = M.cut_at_crossings(segs)
+    assert "Join" not in _after_arrow(got) and "Aggregate" not in _after_arrow(got)
+    side = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    want = {(999, 1): 1}
+    for a in rows:
+        places = set()
+        for b in rows:
+            p, q = (a, b) if a[0] < b[0] else (b, a)
+            ca, cb, ac, ad = side(*q[2:], *p[2:4]), side(*q[2:], *p[4:]), side(*p[2:], *q[2:4]), side(*p[2:], *q[4:])
+            if a[0] != b[0] and ca * cb < 0 and ac * ad < 0:
+                t = ca / (ca - cb)
+                places.add((round(p[2] + t * (p[4] - p[2]), 4), round(p[3] + t * (p[5] - p[3]), 4)))
+        want[a[:2]] = len(places) + 1
+    assert sum(want.values()) > 600
+    pieces = {}
+    for r in got.collect():
+        pieces.setdefault((r["street"], r["seg"]), {})[r["piece"]] = tuple(r)[3:]
+    assert {k: len(v) for k, v in pieces.items()} == want
+    for s in rows:
+        p = [pieces[s[:2]][i] for i in range(want[s[:2]])]
+        assert p[0][:2] == s[2:4] and p[-1][2:] == s[4:] and all(a[2:] == b[:2] for a, b in zip(p[:-1], p[1:], strict=True))
+
+
+def test_halves_are_rounded_as_spark_does(spark):
+    values = [0.00005, -0.00005, 1.00015, 2.03125, 16383.96875, 0.1 + 0.2, 12.34565, -12.34565, 7.0, 8191.99995] + [i / 32 for i in range(64)] + [i / 96 for i in range(200)]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    want = [r["w"] for r in df.select("i", F.round("v", 4).alias("w")).orderBy("i").collect()]
+    assert half_up(np.array(values), 4).tolist() == want
+
+
+def test_lines_along_others_without_a_shuffle_of_pairs(spark):
+    rows = _random_segments(200, 6)
+    rng = random.Random(7)
+    pts = [(e, p, rng.randint(-200, 200) + 0.5, rng.randint(-200, 200) + 0.25) for e in range(40) for p in range(3)]
+    pts += [(100 + i, p, x + 1.0, y + 2.0) for i, s in enumerate(rows[:30]) for p, (x, y) in enumerate((s[2:4], s[4:]))]
+    got = M.overlapping_lines(spark.createDataFrame(pts, "ext int, pos int, x double, y double"), spark.createDataFrame(rows, "street long, seg int, x1 long, y1 long, x2 long, y2 long"))
+    assert "Join" not in _after_arrow(got)
+
+    def d2(px, py, x1, y1, x2, y2):
+        dx, dy = x2 - x1, y2 - y1
+        t = min(max(((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy), 0.0), 1.0)
+        return (x1 + t * dx - px) ** 2 + (y1 + t * dy - py) ** 2
+
+    want = {}
+    for e in {p[0] for p in pts}:
+        mine, found = [p for p in pts if p[0] == e], []
+        for s in {r[0] for r in rows}:
+            near = [d for d in (min(d2(x, y, *r[2:]) for r in rows if r[0] == s) for _, _, x, y in mine) if d <= 36]
+            if near and len(near) * 2 >= len(mine):
+                found.append((-round(len(near) / len(mine), 6), round(sum(d**0.5 for d in near) / len(near), 6), s))
+        if found:
+            r, m, s = min(found)
+            want[e] = (s, -r, m)
+    assert len(want) >= 30
+    assert {r["ext"]: (r["street"], r["ratio"], r["mean"]) for r in got.collect()} == want
