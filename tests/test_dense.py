@@ -192,3 +192,20 @@ def test_lines_along_others_without_a_shuffle_of_pairs(spark):
             want[e] = (s, -r, m)
     assert len(want) >= 30
     assert {r["ext"]: (r["street"], r["ratio"], r["mean"]) for r in got.collect()} == want
+
+
+def test_short_lines_are_split_together(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = [(k, i, rng.randint(0, 60), rng.randint(0, 60)) for k in range(3000) for i in range(rng.randint(1, 9))]
+    x, y = (np.array([r[c] for r in lines], float) for c in (2, 3))
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff([r[0] for r in lines]) != 0]), len(lines)]
+    calls, real = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda v: calls.append(len(v)) or real(v))
+    got = Q._split_lines(x, y, cuts, 12.0)
+    assert len(calls) < 9 and sum(calls) < 9 * len(lines)  # a call for each level, not for each part
+    monkeypatch.undo()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        alone = Q._split_lines(x[a:b], y[a:b], np.array([0, b - a]), 12.0)
+        assert got[a:b].tolist() == alone.tolist() and got[a] == got[b - 1] == np.inf
+    kept = {(r["k"], r["i"]) for r in Q.simplify_lines(spark.createDataFrame(lines, "k int, i int, x int, y int"), ["k"], "i", 12.0).collect()}
+    assert kept == {lines[i][:2] for i in np.flatnonzero(got > 0)}
