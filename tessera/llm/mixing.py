@@ -36,7 +36,9 @@ SALTS = 32
 
 def token_count(text: Column) -> Column:
     """Tokens by ASCII blanks; null counts as none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
+    for blank in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.coalesce(F.array_size(F.array_remove(F.split(text, " "), "")), F.lit(0)).cast("long")  # one blank needs no pattern
 
 
 def words_pattern(words: list[str]) -> str:
@@ -102,18 +104,17 @@ def letter_runs(low: Column) -> Column:
 
 
 def distinct_texts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text), in lower case, of every text that is not null, equal ones of a language once, written."""
+    """(lang, runs), the lower-case words of 4 to 40 letters of every text that is not null, equal texts of a language once, written."""
     text = F.col(text_col).cast("string")
     texts = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("doc"), F.lower(text).alias("text"))
-    return written(texts.dropDuplicates(["lang", "doc"]).select("lang", "text"))
+    return written(texts.dropDuplicates(["lang", "doc"]).select("lang", F.filter(letter_runs(F.col("text")), lambda w: F.length(w).between(4, 40)).alias("runs")))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, w, df, tf): in how many of ``distinct_texts`` each word of 4 to 40 letters is, and how often; ``''`` counts the texts."""
-    runs = letter_runs(F.col("text"))
-    own = texts.select("lang", F.array_distinct(runs).alias("own"), runs.alias("runs"))
+    own = texts.select("lang", F.array_distinct("runs").alias("own"), "runs")
     each = own.select("lang", F.size("own").alias("n"), F.posexplode(F.concat("own", "runs")).alias("at", "w"))  # each word once, then as often as it comes
-    counts = each.filter(F.length("w").between(4, 40)).groupBy("lang", "w").agg(F.count_if(F.col("at") < F.col("n")).alias("df"), F.count_if(F.col("at") >= F.col("n")).alias("tf"))
+    counts = each.groupBy("lang", "w").agg(F.count_if(F.col("at") < F.col("n")).alias("df"), F.count_if(F.col("at") >= F.col("n")).alias("tf"))
     return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("df")).select("lang", F.lit("").alias("w"), "df", F.lit(0).cast("long").alias("tf")).union(counts)
 
 
@@ -122,11 +123,10 @@ def words_beside(texts: DataFrame, seeds: dict[str, list[str]], common: DataFram
     of = F.array().cast("array<string>")
     for lang, words in seeds.items():
         of = F.when(F.col("lang") == lang, F.array(*[F.lit(w) for w in words])).otherwise(of)
-    own = texts.select("lang", F.array_distinct(letter_runs(F.col("text"))).alias("own"), of.alias("seeds"))
-    near = own.select("lang", F.array_sort(F.array_intersect("own", "seeds")).alias("near"), "own").filter(F.size("near") > 0)
+    near = texts.select("lang", F.array_sort(F.array_intersect("runs", of)).alias("near"), "runs").filter(F.size("near") > 0)
     known = common.select("lang", "w")
     known = F.broadcast(known) if known.count() <= BROADCAST_WORDS else known
-    met = near.select("lang", "near", F.explode("own").alias("w")).filter(F.length("w").between(4, 40)).join(known, ["lang", "w"]).groupBy("lang", "near", "w").agg(F.count(F.lit(1)).alias("n"))
+    met = near.select("lang", "near", F.explode(F.array_distinct("runs")).alias("w")).join(known, ["lang", "w"]).groupBy("lang", "near", "w").agg(F.count(F.lit(1)).alias("n"))
     return met.select("lang", F.explode("near").alias("seed"), "w", "n").groupBy("lang", "seed", "w").agg(F.sum("n").alias("n"))
 
 
