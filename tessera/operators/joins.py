@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,12 +36,23 @@ def all_or_nothing(df: DataFrame, patch: DataFrame, key: list[str], columns: lis
 
 
 def either_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], columns: list[str]) -> DataFrame:
-    """Pairs that agree in any of several keys, once: one equi-join for each key instead of a join with OR."""
-    out = None
+    """Pairs that agree in any of several keys, once: one equi-join for each key instead of a join with OR.
+
+    A pair is kept at the first key in which it agrees, so pairs need not be told apart afterwards. Only rows whose
+    ``columns`` another row of their side has, too, with other keys, can bring a pair again; theirs alone are made distinct.
+    """
+    def marked(side: DataFrame, keys: list[str], flag: str) -> DataFrame:
+        own = [c for c in side.columns if c in columns]
+        rows = side.select(*{*own, *keys}).distinct()
+        return rows.withColumn(flag, F.count(F.lit(1)).over(Window.partitionBy(*own or [F.lit(0)])) > 1)
+
+    lefts, rights = marked(left, [a for a, _ in pairs], "__l"), marked(right, [b for _, b in pairs], "__r")
+    out, before = None, F.lit(False)
     for a, b in pairs:
-        got = left.join(right, left[a] == right[b]).select(*columns)
+        got = lefts.join(rights, (lefts[a] == rights[b]) & ~before).select(*columns, (F.col("__l") | F.col("__r")).alias("__again"))
+        before = before | F.coalesce(lefts[a] == rights[b], F.lit(False))
         out = got if out is None else out.union(got)
-    return out.distinct()
+    return out.filter("NOT __again").drop("__again").union(out.filter("__again").drop("__again").distinct())
 
 
 def by_precedence(df: DataFrame, key: list[str], rank: Column, columns: list[str]) -> DataFrame:
