@@ -5,8 +5,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import half_up
+from tessera.functions.scalars import half_up, slug
+from tessera.operators import joins as J
 from tessera.operators import matching as M
+from tessera.operators import routing as R
 from tessera.operators import sequence as Q
 from tessera.operators import spatial as P
 
@@ -209,3 +211,30 @@ def test_short_lines_are_split_together(spark, monkeypatch):
         assert got[a:b].tolist() == alone.tolist() and got[a] == got[b - 1] == np.inf
     kept = {(r["k"], r["i"]) for r in Q.simplify_lines(spark.createDataFrame(lines, "k int, i int, x int, y int"), ["k"], "i", 12.0).collect()}
     assert kept == {lines[i][:2] for i in np.flatnonzero(got > 0)}
+
+
+def test_pairs_of_either_key_need_no_distinct_of_all(spark):
+    left = spark.createDataFrame([(1, "a", 7), (1, "b", 7), (2, "a", 2), (3, None, 9), (1, "a", 7)], "s int, g string, k int")
+    right = spark.createDataFrame([(7, "a", 7), (7, "b", 7), (2, "a", 2), (9, "x", 9), (5, None, 5)], "c int, h string, m int")
+    got = J.either_key(left, right, [("g", "h"), ("k", "m")], ["s", "c"])
+    want = sorted({(a["s"], b["c"]) for a in left.collect() for b in right.collect() if (a["g"] is not None and a["g"] == b["h"]) or a["k"] == b["m"]})
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "__again" not in plan.splitlines()[0]  # not an Aggregate over all pairs
+
+
+def test_starts_are_searched_only_as_far_as_their_queries_can_gain(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)] + [(i + 1, i, 1.0) for i in range(50)], "a long, b long, cost double")
+    schema = "query long, node long, extra double"
+    starts, ends = spark.createDataFrame([(1, 0, 5.0), (1, 9, 1.0), (2, 3, 0.0)], schema), spark.createDataFrame([(1, 9, 3.0), (1, 8, 1.0), (2, 6, 1.0)], schema)
+    found, real = [], R.distances
+    monkeypatch.setattr(R, "distances", lambda *a: found.append(real(*a)) or found[-1])
+    got = {r["query"]: tuple(r)[1:] for r in R.routes_between(starts, ends, edges, 10.0).collect()}
+    assert got == {1: (9, 8, 3.0), 2: (3, 6, 4.0)}
+    assert found[0].filter("source = 0").count() == 1 and found[0].filter("source = 9").count() <= 5
+
+
+def test_slugs_of_odd_texts(spark):
+    rows = [(0, None), (1, ""), (2, "Grüße, ﬁne Straße!"), (3, "ＡＢＣ ½ 한글 é")] + [(i, f"Word {i}") for i in range(4, 1300)]
+    got = {r["i"]: r["s"] for r in spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", slug("t").alias("s")).collect()}
+    assert [got[i] for i in range(4)] == ["", "", "grue-fine-strae", "abc-12-e"] and got[1299] == "word-1299" and len(got) == 1300
