@@ -20,7 +20,7 @@ def vertex_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_suppkey, s AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT *, min(a) OVER (PARTITION BY l_suppkey, g) AS s FROM (SELECT *, sum(nw) OVER (PARTITION BY l_suppkey ORDER BY a, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN a <= max(e) OVER (PARTITION BY l_suppkey ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM (SELECT l_suppkey, l_partkey AS a, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem) t) u) v) w GROUP BY l_suppkey, g, s")
 def coalesce_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
-    return Q.merge_intervals(t, ["l_suppkey"], "start", "end")
+    return Q.merge_intervals(Q.dealt(t, ["l_suppkey"]), ["l_suppkey"], "start", "end")
 
 
 @query("SELECT cat, a AS start, a + 1 AS stop FROM (SELECT DISTINCT p_brand AS cat, p_partkey % 997 + i AS a FROM part, range(0, 40) r(i) WHERE i < 1 + p_size) t WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = t.cat AND q.p_partkey % 2 = 0 AND t.a >= (q.p_partkey * 7) % 997 AND t.a < (q.p_partkey * 7) % 997 + q.p_size % 7)")
