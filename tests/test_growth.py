@@ -8,7 +8,7 @@ from tessera import catalog
 from tessera.operators import sequence as Q
 
 
-@pytest.mark.parametrize("name", ["coalesce_intervals"])
+@pytest.mark.parametrize("name", ["coalesce_intervals", "sequence_contiguity"])
 def test_tasks_follow_the_rows_of_a_table(spark, sf, monkeypatch, name):
     query = catalog.queries()[name]
     want = sorted(map(tuple, query(spark, sf).collect()))
