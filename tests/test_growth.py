@@ -1,11 +1,15 @@
 """Steps whose share of a task must not grow with the table."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera import catalog
+from tessera.operators import routing as R
 from tessera.operators import sequence as Q
+from tessera.operators.graph import connected_components
 
 
 @pytest.mark.parametrize("name", ["coalesce_intervals", "sequence_contiguity"])
@@ -17,3 +21,42 @@ def test_tasks_follow_the_rows_of_a_table(spark, sf, monkeypatch, name):
     assert sorted(map(tuple, df.collect())) == want
     sizes = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
     assert sizes and min(sizes) == spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100
+
+
+def test_components_by_ranges_of_nodes(spark):
+    rng = random.Random(4)
+    rows = [(i, i + rng.choice((1, 1, 2, 3))) for i in range(400) if rng.random() < 0.6] + [(5, 390), (7, 7), (None, 3)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = sorted(map(tuple, connected_components(edges, "a", "b").collect()))
+    for small in (30, 0):
+        assert sorted(map(tuple, connected_components(edges, "a", "b", small_edges=small, near=True).collect())) == want
+
+
+def test_searches_of_a_task_go_on_together(spark, monkeypatch):
+    rng = random.Random(8)
+    at = [(rng.randrange(40), rng.randrange(40)) for _ in range(120)]
+    key = [x * (1 << 33) + y * 2 for x, y in at]  # places as build_edges names them
+    ways = {(i, j): round(float(np.hypot(at[i][0] - at[j][0], at[i][1] - at[j][1])), 6) for i, j in (rng.sample(range(120), 2) for _ in range(260)) if key[i] != key[j]}
+    edges = spark.createDataFrame([(key[p], key[q], c) for (i, j), c in ways.items() for p, q in ((i, j), (j, i))], "a long, b long, cost double").groupBy("a", "b").min("cost").toDF("a", "b", "cost").cache()
+    cost = {(r["a"], r["b"]): r["cost"] for r in edges.collect()}
+    nodes = sorted({a for a, _ in cost})
+    far = {(s, t): 0.0 if s == t else cost.get((s, t), np.inf) for s in nodes for t in nodes}
+    for k in nodes:
+        for s in nodes:
+            for t in nodes:
+                far[s, t] = min(far[s, t], far[s, k] + far[k, t])
+    asked = [(n, rng.choice(nodes), rng.choice(nodes)) for n in range(300)]
+    q = spark.createDataFrame(asked, "query long, start long, end long")
+    calls, real = [], R._ways
+    for labels in (4_000_000, 500):
+        monkeypatch.setattr(R, "LABELS_AT_ONCE", labels)
+        es, qs = edges.withColumn("component", R.F.lit(0).cast("long")), q.withColumn("component", R.F.lit(0).cast("long"))
+        monkeypatch.setattr(R, "_ways", lambda *a: calls.append(len(a[0])) or real(*a))
+        got = {r["query"]: r for r in R._ways_in_task(qs.toArrow(), es.toArrow()).to_pylist()}
+        for n, s, t in asked:
+            assert (n in got) == np.isfinite(far[s, t])
+            if n in got:
+                path = got[n]["path"]
+                assert abs(got[n]["cost"] - far[s, t]) < 1e-6 and abs(sum(cost[p] for p in zip(path[:-1], path[1:], strict=True)) - far[s, t]) < 1e-6
+                assert (path[0], path[-1], len(path) - 1) == (s, t, got[n]["hops"])
+    assert calls[0] == 300 and len(calls) > 2 and max(calls[1:]) <= 6
