@@ -174,8 +174,8 @@ def topic_of(low: Column, lang: Column, lexicon: dict[str, dict[str, list[str]]]
         names = list(topics)
         count = lambda h, ws: F.size(F.filter(h, lambda w: w.isin(ws)))
         of_hits = lambda h: F.array_max(F.array(*[F.struct(count(h, topics[t]).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(names)]))  # noqa: B023, E731
-        best = F.element_at(F.transform(F.array(hits), of_hits), 1)  # the hits are found once for all topics
-        topic = topic.when(lang == of, F.when(best["n"] > 0, best["t"]))
+        best = F.transform(F.transform(F.array(hits), of_hits), lambda b: F.when(b["n"] > 0, b["t"]))  # named once, as a branch reckons anew what it names twice
+        topic = topic.when(lang == of, F.element_at(best, 1))
     return F.coalesce(topic, F.lit("other"))
 
 

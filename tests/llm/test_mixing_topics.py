@@ -123,3 +123,11 @@ def test_texts_are_split_into_words_once_and_tokens_counted_without_a_pattern(sp
     assert "regexp" not in got.select("n")._jdf.queryExecution().optimizedPlan().toString()
     texts = mixing.distinct_texts(df, "text", "lang")
     assert "split" not in mixing.word_counts(texts)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_split_once_for_its_topic(spark):
+    lexicon = {"en": {"river": ["river", "water"], "stone": ["stone"]}}
+    df = spark.createDataFrame([("Water, water and stone", "en"), ("stone", "en"), ("wood", "en"), ("stone", "de")], "low string, lang string")
+    named = df.select(mixing.topic_of(F.lower("low"), F.col("lang"), lexicon).alias("topic"))
+    assert [r["topic"] for r in named.collect()] == ["river", "stone", "other", "other"]
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
