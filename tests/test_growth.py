@@ -60,3 +60,45 @@ def test_searches_of_a_task_go_on_together(spark, monkeypatch):
                 assert abs(got[n]["cost"] - far[s, t]) < 1e-6 and abs(sum(cost[p] for p in zip(path[:-1], path[1:], strict=True)) - far[s, t]) < 1e-6
                 assert (path[0], path[-1], len(path) - 1) == (s, t, got[n]["hops"])
     assert calls[0] == 300 and len(calls) > 2 and max(calls[1:]) <= 6
+
+
+def test_planar_build_shuffles_segments_only(spark, sf, monkeypatch):
+    """Pieces, edges and chains of cells are those of joins, whatever the margin, and no pair, cut or piece is shuffled."""
+    from tessera.operators import network as N
+    from tessera.operators import planar as L
+    from tessera.operators.routing import contract_labelled
+    from tessera.sources.tables import roads
+
+    rows = lambda df: sorted(map(repr, df.collect()))
+    segs = roads(spark, sf).filter("street < 700").cache()
+    parts = N._pieces_by_joins(segs)
+    edges = N.planar_edges(parts.cache()).cache()
+    label = N.F.struct("surface", "mask")
+    rounded = lambda df: rows(df.select("a", "b", N.F.round("cost", 6).alias("cost"), "n", "surface", "mask"))
+    chains = rounded(contract_labelled(edges.select("a", "b", N.F.col("length").alias("cost"), label.alias("label"))).select("a", "b", "cost", "n", "label.*"))
+    for size in (4096, 512, 96):  # in small cells most runs are open, and some nodes need more than the first margin
+        got = N.planar_pieces(segs, size)
+        assert [len(x[3]) for x in got._cells.levels][-1] == 0
+        assert rows(got) == rows(parts) and rows(N.planar_edges(got)) == rows(edges)
+        assert rounded(N.planar_chains(got)) == chains
+        for df in (got, N.planar_edges(got)):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert len(got._cells.levels) > 1
+    monkeypatch.setattr(L, "LEVELS", 1)
+    assert N.Cells(segs, 96, (4.5, 1.0, 1.0, 0.25, 1.0)).levels is None  # then joins build all
+
+
+def test_cell_with_a_chain_of_moves_from_afar_is_not_whole(spark):
+    """Each road ends near the next one's beginning, so that ends move along a chain past the margin of a small cell."""
+    from tessera.operators import network as N
+
+    kind = "street long, seg int, x1 double, y1 double, x2 double, y2 double, width double, surface string, bridge boolean, mask int, pin1 boolean, pin2 boolean"
+    rows = [(i, 1, 6.0 * i, 0.0, 6.0 * i, 40.0 + i % 3, 4.0, "paved", False, None, False, False) for i in range(60)]
+    rows += [(100, 1, 900.0, 0.0, 900.0, 9.0, None, None, None, 3, None, None), (101, 1, 899.0, 4.0, 930.0, 4.0, 4.0, None, None, None, None, None), (102, 1, None, 0.0, 1.0, 2.0, 4.0, "dirt", False, None, False, False), (103, 1, 5.0, 5.0, 5.0, 5.0, 4.0, "dirt", False, None, False, False)]
+    segs = spark.createDataFrame(rows, kind).cache()
+    good = segs.filter("street NOT IN (102, 103)")
+    want = N._pieces_by_joins(good)
+    got = N.planar_pieces(segs, 64)
+    table = lambda df: sorted(map(repr, df.collect()))
+    assert len(got._cells.levels) > 1 and table(got) == table(want)
+    assert table(N.planar_edges(got)) == table(N.planar_edges(want))
