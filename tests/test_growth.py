@@ -102,3 +102,21 @@ def test_cell_with_a_chain_of_moves_from_afar_is_not_whole(spark):
     table = lambda df: sorted(map(repr, df.collect()))
     assert len(got._cells.levels) > 1 and table(got) == table(want)
     assert table(N.planar_edges(got)) == table(N.planar_edges(want))
+
+
+def test_polylines_of_a_dense_cell_are_compared_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import matching as M
+
+    rng = random.Random(5)
+    at = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(80)]
+    points = spark.createDataFrame([(e, i, x + 4.0 * i, y + rng.uniform(-3, 3)) for e, (x, y) in enumerate(at) for i in range(3)], "ext long, pos int, x double, y double")
+    segs = spark.createDataFrame([(i, x - 5, y, x + 20, y + rng.uniform(-2, 2)) for i, (x, y) in enumerate(at)], "street long, x1 double, y1 double, x2 double, y2 double")
+    want = sorted(map(tuple, M.overlapping_lines(points, segs).collect()))
+    sizes, real = [], M.near_blocks
+    monkeypatch.setattr(M, "near_blocks", lambda left, right, **k: sizes.append(len(left)) or real(left, right, **k))
+    monkeypatch.setattr(M, "fold_cells", lambda left, right, fold, schema: spark.createDataFrame(pa.Table.from_batches(list(fold(left.toArrow(), right.toArrow()))).to_pandas(), schema))
+    monkeypatch.setattr(M, "PAIRS_AT_ONCE", 100)
+    assert len(want) > 60 and sorted(map(tuple, M.overlapping_lines(points, segs).collect())) == want
+    assert sum(sizes) == 240 and max(sizes[2:]) < 60
