@@ -120,3 +120,16 @@ def test_polylines_of_a_dense_cell_are_compared_a_few_at_a_time(spark, monkeypat
     monkeypatch.setattr(M, "PAIRS_AT_ONCE", 100)
     assert len(want) > 60 and sorted(map(tuple, M.overlapping_lines(points, segs).collect())) == want
     assert sum(sizes) == 240 and max(sizes[2:]) < 60
+
+
+def test_short_searches_take_few_rounds(spark, monkeypatch):
+    from tessera.operators import search as S
+
+    place = lambda i: (6 * i) << 32
+    edges = spark.createDataFrame([(place(i), place(i + 1), 3.0, "paved", False, None) for i in range(300)], "a long, b long, length double, surface string, bridge boolean, mask int")
+    ask = spark.createDataFrame([(1, 0.0, 1.0, 900.0, 2.0, None, 1)], "query long, sx double, sy double, tx double, ty double, avoid array<struct<x:double,y:double,r:double>>, bit int")
+    plans, real = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df: (plans.append(1) if df.columns == ["query", "limit", "ub"] else None) or real(df))
+    found, _ = S.request_routes(ask, edges, landmarks=False, max_cost=1500.0)
+    assert [tuple(r) for r in found.select("query", "cost").collect()] == [(1, 909.0)]
+    assert len(plans) <= 2
